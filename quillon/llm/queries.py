@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, quality
+from . import bpe, langid, lines, quality, simhash
 from .common import documents, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,12 @@ def _held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every whole text and the group of near copies that it is in."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text; learned from labelled rows outside the held-out fifth."""
     docs = documents(table(spark, sf_dir, "documents"))
@@ -56,7 +62,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_byte_bpe, op4_quality, op5_line_dedup, op8_language)
+    own = (op2_byte_bpe, op3_simhash, op4_quality, op5_line_dedup, op8_language)
     return {f.__name__: f for f in own}
 
 
