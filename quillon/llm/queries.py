@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, quality, simhash
+from . import bpe, langid, lines, quality, simhash, substrings
 from .common import documents, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -43,6 +43,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove words of 50-word windows that an earlier document holds; counts and a digest of what stays."""
+    out = substrings.dedup(table(spark, sf_dir, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict every whole text's language; learned from documents outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -62,7 +68,7 @@ FROM m GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_byte_bpe, op3_simhash, op4_quality, op5_line_dedup, op8_language)
+    own = (op2_byte_bpe, op3_simhash, op4_quality, op5_line_dedup, op6_substring_dedup, op8_language)
     return {f.__name__: f for f in own}
 
 
