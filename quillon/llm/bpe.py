@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import documents, slices
 
@@ -279,22 +280,35 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass over the texts, without a shuffle."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """docs without text, with n_tokens, ids_sha256, decoded_sha256 (and ids): encode, decode the ids, digest both.
+
+    One pass, without a shuffle. A null or empty text has no ids. Rows that repeat each give a row, an empty table gives
+    an empty one. Columns of docs with the names of the new ones give way to them.
+    """
+    new = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())] + [StructField("ids", BinaryType())] * with_ids
+    docs = docs.drop(*(f.name for f in new))
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path, pattern)
         for batch in slices(batches):
-            counts, encoded, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
+            raws, counts, encoded, decoded = [], [], [], []
+            for text in batch.column(at).to_pylist():
                 raw = codec.encode_bytes(text) if text else b""
                 ids = np.frombuffer(raw, dtype="<u4")
-                sha = hashlib.sha256()
+                sha, stream = hashlib.sha256(), Utf8Stream()
                 for i in range(0, len(ids), 1 << 14):
-                    sha.update(codec.decode_bytes(ids[i : i + (1 << 14)].tolist()))
+                    sha.update(stream.feed(codec.decode_bytes(ids[i : i + (1 << 14)].tolist())).encode())
+                sha.update(stream.finish().encode())
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(raw).hexdigest())
                 decoded.append(sha.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    raws.append(raw)
+            rest = [c for i, c in enumerate(batch.columns) if i != at]
+            made = [pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())] + [pa.array(raws, pa.binary())] * with_ids
+            yield pa.RecordBatch.from_arrays([*rest, *made], [*(f.name for f in schema.fields)])
+
+    schema = StructType([f for f in docs.schema.fields if f.name != "text"] + new)
+    return docs.mapInArrow(run, schema)

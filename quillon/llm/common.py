@@ -56,3 +56,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 start, size = i, 0
             size += n
         yield batch.slice(start)
+
+
+def without(docs: DataFrame, gone: DataFrame, most: int = 200_000) -> DataFrame:
+    """Rows of docs that have no equal (nulls being equal) in all columns of gone.
+
+    gone is counted: up to `most` rows it is broadcast and docs stay where they are; beyond that both are shuffled.
+    """
+    gone = checkpointed(gone.distinct()).alias("gone")
+    on = [docs[c].eqNullSafe(F.col(f"gone.{c}")) for c in gone.columns]
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, on, "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, without
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, after lower-casing: all of ASCII but digits and letters.
@@ -122,3 +122,10 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     rows = _documents(docs).select("doc_id", "version", F.size("words").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["version"] == found["v"]), "left").select("doc_id", "version", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.concat_ws(",", "items"), F.lit("")).alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of docs (all columns) without a window of any item; nulls and empty tables as in report()."""
+    wins, _ = windows(items, window)
+    hits = matches(docs, wins, window).select("doc_id", F.col("version").alias("_version"))
+    return without(docs.withColumn("_version", F.xxhash64("text")), hits).drop("_version")

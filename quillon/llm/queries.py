@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, quality, simhash, substrings, topk
+from . import bpe, chat, decontaminate, langid, lines, packing, quality, simhash, substrings, topk
 from .common import documents, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,7 +24,7 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every whole text and decode the ids again: counts and digests of both."""
-    return bpe.round_trip(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+    return bpe.round_trip(documents(table(spark, sf_dir, "documents")), VOCABULARY, PATTERN)
 
 
 def _held_out():
@@ -55,6 +56,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, linked to what it quotes."""
+    return chat.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict every whole text's language; learned from documents outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -67,6 +73,21 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def tokenizer(path: str, pattern: str):
+    """A factory of text -> ids, for tasks to call."""
+
+    def make():
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+        return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+
+    return make
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's ids in rows of 2,048; 50,256 is free in the vocabulary and pads."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(VOCABULARY, PATTERN), length=2048, pad=50_256, vocabulary=50_257)
+
+
 OP1_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -106,7 +127,7 @@ FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_topk, op2_byte_bpe, op3_simhash, op4_quality, op5_line_dedup, op6_substring_dedup, op8_language, op9_decontaminate)
+    own = (op1_topk, op2_byte_bpe, op3_simhash, op4_quality, op5_line_dedup, op6_substring_dedup, op7_quotation_linking, op8_language, op9_decontaminate, op10_packing)
     return {f.__name__: f for f in own}
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, slices
+from .common import checkpointed, documents, slices, without
 from .components import components
 
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -140,3 +140,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     smallest = of.groupBy("component").agg(F.min("first").alias("component_id"))
     named = of.join(smallest, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def dedup(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of docs (all columns) but for the near copies of a document with a smaller doc_id.
+
+    Rows that share a doc_id are one document; rows without one are no copies of anything and stay.
+    """
+    return without(docs, near_duplicates(docs, shingle, distance).where("component_id < doc_id").select("doc_id"))
