@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpointed, slices
 
 _STRIP = " \t\n\x0b\x0c\r"
 
@@ -154,7 +154,8 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(lines, pa.int32()), pa.array(names, pa.binary())], ["doc_id", "version", "line", "key"])
 
     found = own.select("doc_id", "version", "text").mapInArrow(suspects, "doc_id long, version long, line int, key binary")
-    first = found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first")
+    # written down, so that both sides of the join are dealt anew and Spark can split a key that very many documents hold
+    first = checkpointed(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
     return found.join(first, "key").where("doc_id > first").select("doc_id", "version", "line")
 
 
