@@ -20,6 +20,7 @@ def spark():
         .config("spark.default.parallelism", "4")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .getOrCreate()
