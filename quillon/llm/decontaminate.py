@@ -8,6 +8,8 @@ offsets, is an exact phrase; all there, within some further slots and in any ord
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,5 +129,6 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs (all columns) without a window of any item; nulls and empty tables as in report()."""
     wins, _ = windows(items, window)
-    hits = matches(docs, wins, window).select("doc_id", F.col("version").alias("_version"))
-    return without(docs.withColumn("_version", F.xxhash64("text")), hits).drop("_version")
+    version = f"version_{uuid.uuid4().hex}"  # no column of docs has this name
+    hits = matches(docs, wins, window).select("doc_id", F.col("version").alias(version))
+    return without(docs.withColumn(version, F.xxhash64("text")), hits).drop(version)

@@ -26,7 +26,7 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
 
 def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False) if rows else np.zeros(0, np.int64)
-    return flat.reshape(rows, -1)
+    return flat.reshape(rows, len(flat) // rows if rows else 0)
 
 
 def search(query: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, order: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
