@@ -190,7 +190,7 @@ def _expression(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def join_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """join_inner by a sort-merge join, as the reference engine has it; the hint goes with the registered frame."""
+    """join_inner by a sort-merge join; the hint goes with the registered frame."""
     s = session(spark, sf_dir)
     s.register("customer", s.table("customer").df.hint("merge"))
     return s.sql(SELECTS["join_inner"][0])
