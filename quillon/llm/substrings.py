@@ -113,7 +113,8 @@ def repeated(docs: DataFrame, window: int) -> DataFrame:
     """
     chain = levels(window)
     texts = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
-    first = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # written down, so that Spark can split the partition of a text that very many documents have
+    first = checkpointed(texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"))
     copies = checkpointed(texts.join(first, "digest").where("doc_id > first").select("doc_id").distinct())
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
