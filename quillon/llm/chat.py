@@ -29,7 +29,11 @@ def normalised(text: str) -> str:
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
-    """What the message says itself, and its passages as (level from 1, text), in order."""
+    """What the message says itself, and its passages as (level from 1, text), in order.
+
+    A quote leaves one empty line behind, none at the ends, and empty lines in a row become one; a message without
+    quotes stays as it is.
+    """
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     level_before = 0
@@ -37,7 +41,8 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
         marks = _QUOTE.match(line)
         level = marks[1].count(">") if marks else 0
         if level == 0:
-            own.append(line)
+            if line.strip() or level_before == 0 and (not passages or own[-1:] != [""]):
+                own.append(line)
         else:
             rest = line[marks.end() :]
             if level_before == 0:
@@ -45,6 +50,9 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
                     own.pop()
                 if own and _ATTRIBUTION.match(own[-1]):
                     own.pop()
+                    while own and not own[-1].strip():
+                        own.pop()
+                own.append("")  # one empty line where the quote stood
             if level != level_before:
                 passages.append((level, []))
             passages[-1][1].append(rest)
