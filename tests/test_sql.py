@@ -61,6 +61,24 @@ def test_parse_errors(text):
         parse(text)
 
 
+def test_boolean_trees(spark):
+    from quillon.plans.boolean import clauses, qualified, simplified
+    from quillon.plans.select import Scope, Table
+
+    node = parse("select a from t where a == 1 and (b < 2 or a == 3) or b is null").where
+    leaves = clauses(node)
+    assert [c.op for c in leaves] == ["==", "<", "==", "IS"]
+    assert simplified(node, {}) == node
+    assert simplified(node, {leaves[0]: False}) == leaves[3] and simplified(node, {leaves[3]: True}) is True
+    assert simplified(node, {leaves[3]: False, leaves[0]: True, leaves[1]: False}) == leaves[2]
+    assert simplified(node, dict.fromkeys(leaves, False)) is False
+    scope, df = Scope(), spark.createDataFrame([(1, 2)], "a int, b int")
+    scope.add(Table("t", df, df.schema))
+    assert str(clauses(qualified(node, scope))[1].left) == "t.b"
+    with pytest.raises(SqlError):
+        qualified(parse("select a from t where c == 1").where, scope)
+
+
 # NULL rules
 
 
