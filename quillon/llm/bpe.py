@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import documents, slices
+from .common import documents, held, slices
 
 #: Lead byte range -> continuation bytes wanted, lowest and highest first continuation byte (RFC 3629).
 UTF8_LEADS = (
@@ -49,7 +50,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes single pieces (one match of the pre-tokenising pattern each) of bytes to ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 160_000):
         self.ranks, self.max_states = ranks, max_states
         self.child: dict[int, int] = {}
         self.node_bytes = [b""]
@@ -66,6 +67,7 @@ class Transducer:
             self.token_at[node] = rank
         self.inner = {key >> 8 for key in self.child}
         self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.length_of = {rank: len(token) for token, rank in ranks.items()}
         if any(bytes((b,)) not in ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes, so it cannot encode every text")
         self.whole: dict[int, bool] = {}
@@ -100,7 +102,7 @@ class Transducer:
             return ok
         key = (last, token)
         if (ok := self.stable.get(key)) is None:
-            if len(self.stable) > 2_000_000:
+            if len(self.stable) > 400_000:
                 self.stable.clear()
             ok = self.stable[key] = self.merge(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
         return ok
@@ -131,22 +133,25 @@ class Transducer:
             self._forget()
         done: list[int] = []
         ends: list[int] = []  # for each byte that is not emitted, the token that would end after it
-        state, moves = 0, self.moves
-        for byte in piece:
-            state, token = moves.get(state << 8 | byte) or self._move(state, byte)
-            ends.append(token)
-            if len(ends) == block:  # only pieces as long as a text
+        state, step = 0, self._move
+        for start in range(0, len(piece), block):
+            if start:  # only pieces as long as a text
                 state = self._emit(ends, done, state)
-                moves = self.moves
+            find, add = self.moves.get, ends.append
+            for byte in piece[start : start + block]:
+                state, token = find(state << 8 | byte) or step(state, byte)
+                add(token)
         return done + self._back(ends, len(ends))
 
     def _back(self, ends: list[int], to: int) -> list[int]:
         """The tokens of ends[:to]."""
-        out = []
+        out, length = [], self.length_of
         while to:
-            out.append(ends[to - 1])
-            to -= len(self.bytes_of[ends[to - 1]])
-        return out[::-1]
+            token = ends[to - 1]
+            out.append(token)
+            to -= length[token]
+        out.reverse()
+        return out
 
     def _emit(self, ends: list[int], done: list[int], state: int) -> int:
         """Moves to done what every growing position has in common, and tidies up the tables; the state to go on with."""
@@ -174,7 +179,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = np.array(self.transducer.encode(piece.encode()), dtype="<u4").tobytes()
+        ids = self.transducer.encode(piece.encode())
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -215,9 +221,7 @@ class Utf8Stream:
 class Codec:
     """A vocabulary and a pre-tokenising pattern: texts to ids and back."""
 
-    _made: dict[tuple[str, str], Codec] = {}
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 350_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer, most_pieces)
@@ -225,10 +229,8 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        """One codec for each vocabulary and worker process."""
-        if (path, pattern) not in cls._made:
-            cls._made[path, pattern] = cls(read_ranks(path), pattern)
-        return cls._made[path, pattern]
+        """One codec for a vocabulary and worker process."""
+        return held(("bpe", path, pattern), lambda: cls(read_ranks(path), pattern))
 
     def encode_bytes(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))

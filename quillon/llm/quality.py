@@ -8,6 +8,7 @@ fixed amount to the log odds; a word's amount is therefore kept, and scoring a t
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, slices
+from .common import documents, held, slices
 
 
 @dataclass(frozen=True)
@@ -81,7 +82,7 @@ class Model:
     odds: np.ndarray
     constant: float
 
-    def scorer(self, most: int = 500_000):
+    def scorer(self, most: int = 250_000):
         """Texts -> scores; it remembers what each word adds, and forgets all when that gets too much."""
         features, odds, known = Features(self.settings), self.odds, {}
         pair = complex(float(odds[self.settings.buckets]) * self.settings.pair_weight, self.settings.pair_weight)
@@ -166,13 +167,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast((model.settings, model.odds, model.constant))  # buckets x 4 bytes
     at = docs.columns.index("text")
-    made: dict = {}
+    name = ("quality", uuid.uuid4().hex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "score" not in made:
-            made["score"] = Model(*sent.value).scorer()
+        scorer = held(name, lambda: Model(*sent.value).scorer())
         for batch in slices(batches):
-            scores = made["score"](batch.column(at).to_pylist())
+            scores = scorer(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
