@@ -137,10 +137,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     least = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     linked = components(links(least.select("fp"), distance))
     inside = checkpointed(linked.join(least, linked["node"] == least["fp"]).select("fp", "first", "component"))
-    # written down before it is joined on what it was grouped by: Spark can then split the partition of a large component
+    # written down before they are joined on what they were grouped or joined by: Spark can then split the partition of
+    # a large component, or of a fingerprint that very many documents have
     smallest = checkpointed(inside.groupBy("component").agg(F.min("first").alias("component_id")))
     of = inside.join(smallest, "component").select("fp", "component_id")
-    named = least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = checkpointed(least.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
