@@ -28,14 +28,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _with_nulls(s: Session) -> None:
     """Tables that hold NULLs, which the supplied ones do not: predicates in f7, join keys in n8 and r8."""
-    line = s.table("lineitem").df
-    s.register("f7", line.select(F.col("l_orderkey").alias("k"), F.when(F.col("l_linenumber") != 1, F.col("l_quantity")).alias("q"), F.when(F.col("l_linenumber") != 2, F.col("l_partkey") % 50).alias("p")))
-    s.register("n8", s.table("nation").df.select(F.when(F.col("n_nationkey") >= 3, F.col("n_nationkey")).alias("nk"), "n_name"))
-    s.register("r8", s.table("region").df.select(F.when(F.col("r_regionkey") >= 2, F.col("r_regionkey")).alias("rk"), "r_name"))
-    s.register("big", s.table("orders").df.where("o_totalprice > 300000").select("o_orderkey", "o_custkey", "o_totalprice"))
-    s.register("few", s.table("customer").df.where("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_nationkey"))
-    s.register("sup", s.table("supplier").df.where("s_suppkey <= 20"))
-    s.register("cus", s.table("customer").df.where("c_custkey <= 50"))
+    q, p = F.when(F.col("l_linenumber") != 1, F.col("l_quantity")), F.when(F.col("l_linenumber") != 2, F.col("l_partkey") % 50)
+    s.register_later("f7", lambda: s.table("lineitem").df.select(F.col("l_orderkey").alias("k"), q.alias("q"), p.alias("p")))
+    s.register_later("n8", lambda: s.table("nation").df.select(F.when(F.col("n_nationkey") >= 3, F.col("n_nationkey")).alias("nk"), "n_name"))
+    s.register_later("r8", lambda: s.table("region").df.select(F.when(F.col("r_regionkey") >= 2, F.col("r_regionkey")).alias("rk"), "r_name"))
+    s.register_later("big", lambda: s.table("orders").df.where("o_totalprice > 300000").select("o_orderkey", "o_custkey", "o_totalprice"))
+    s.register_later("few", lambda: s.table("customer").df.where("c_custkey % 3 = 0").select("c_custkey", "c_name", "c_nationkey"))
+    s.register_later("sup", lambda: s.table("supplier").df.where("s_suppkey <= 20"))
+    s.register_later("cus", lambda: s.table("customer").df.where("c_custkey <= 50"))
 
 
 _F7 = "(SELECT l_orderkey AS k, CASE WHEN l_linenumber <> 1 THEN l_quantity END AS q, CASE WHEN l_linenumber <> 2 THEN l_partkey % 50 END AS p FROM lineitem) f7"

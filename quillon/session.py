@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -35,7 +36,7 @@ class Session:
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark, self._root, self._catalog = spark, root, None
-        self.views: dict[str, Table] = {}
+        self.views: dict[str, Table | Callable[[], DataFrame]] = {}
         self.database: str | None = None
 
     @property
@@ -48,14 +49,22 @@ class Session:
         """A frame as a table; schema may say more about NULLs than the frame does."""
         self.views[name] = Table(name, df, schema or df.schema)
 
+    def register_later(self, name: str, make: Callable[[], DataFrame]) -> None:
+        """A table whose frame is made when a statement first names it: finding a schema takes a look at its files."""
+        self.views[name] = make
+
     def register_parquet(self, folder: str, *names: str) -> None:
-        """folder/name.parquet as table name."""
+        """folder/name.parquet as table name, opened when first named."""
         for name in names:
-            self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
+            self.register_later(name, functools.partial(self.spark.read.parquet, f"{folder}/{name}.parquet"))
 
     def table(self, name: str) -> Table:
         if name in self.views:
-            return self.views[name]
+            found = self.views[name]
+            if not isinstance(found, Table):
+                df = found()
+                found = self.views[name] = Table(name, df, df.schema)
+            return found
         if self.database is not None and self.catalog.has(self.database, name):
             return self.catalog.table(self.database, name)
         if name in CATALOGUE and self._catalog is not None:
