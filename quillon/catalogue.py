@@ -79,6 +79,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "join_left_null_filter": ("select c_custkey from few left join big on c_custkey == o_custkey where o_totalprice < 310000", f"SELECT c_custkey FROM {_FEW} LEFT JOIN {_BIG} ON c_custkey = o_custkey WHERE o_totalprice < 310000 OR o_totalprice IS NULL"),
     "join_cross": ("select r_name, n_name from region join nation", "SELECT r_name, n_name FROM region CROSS JOIN nation"),
     "join_theta": ("select s_suppkey, c_custkey from sup join cus on s_acctbal > c_acctbal and c_nationkey == s_nationkey", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal AND c_nationkey = s_nationkey WHERE s_suppkey <= 20 AND c_custkey <= 50"),
+    "join_theta_whole": ("select s_suppkey, c_custkey from supplier join customer on s_acctbal > c_acctbal and c_nationkey == s_nationkey", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal AND c_nationkey = s_nationkey"),
     "join_null_safe": ("select n_name, r_name from n8 join r8 on nk == rk", f"SELECT n_name, r_name FROM {_N8} JOIN {_R8} ON nk IS NOT DISTINCT FROM rk"),
     "agg_count": ("select l_returnflag, count(l_orderkey) from lineitem group by l_returnflag", "SELECT l_returnflag, count(*) AS COUNT_l_orderkey FROM lineitem GROUP BY l_returnflag"),
     "agg_min": ("select l_returnflag, min(l_extendedprice) from lineitem group by l_returnflag", "SELECT l_returnflag, min(l_extendedprice) AS MIN_l_extendedprice FROM lineitem GROUP BY l_returnflag"),

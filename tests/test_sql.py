@@ -290,3 +290,10 @@ def test_entry_points(spark):
     assert __spark_entry__.entry(spark).count() == 6
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+
+
+def test_theta_join_reaches_whole_tables(spark):
+    suppliers, customers = ([tuple(r) for r in spark.read.parquet(f"{DATA}/{t}.parquet").select(*c).collect()] for t, c in (("supplier", ("s_suppkey", "s_nationkey", "s_acctbal")), ("customer", ("c_custkey", "c_nationkey", "c_acctbal"))))
+    pairs = Counter((s, c) for s, n, x in suppliers for c, m, y in customers if x > y and n == m)
+    assert Counter(rows(catalogue.queries()["join_theta_whole"](spark, DATA))) == pairs
+    assert max(c for _, c in pairs) > 50
