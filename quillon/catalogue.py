@@ -75,8 +75,11 @@ SELECTS: dict[str, tuple[str, str]] = {
     "join_star": ('select l_orderkey, p_name, s_name from lineitem join part on p_partkey == l_partkey join supplier on lineitem.l_suppkey == supplier.s_suppkey where p_name like "blue*"', "SELECT l_orderkey, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_name LIKE 'blue%'"),
     "join_left": ("select c_custkey, o_orderkey, o_totalprice from customer left join big on c_custkey == o_custkey", f"SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN {_BIG} ON c_custkey = o_custkey"),
     "join_right": ("select c_custkey, c_name, o_orderkey from few right join big on c_custkey == o_custkey", f"SELECT c_custkey, c_name, o_orderkey FROM {_FEW} RIGHT JOIN {_BIG} ON c_custkey = o_custkey"),
+    "join_right_whole": ("select c_custkey, c_name, o_orderkey from customer right join big on c_custkey == o_custkey and c_acctbal > 5000", f"SELECT c_custkey, c_name, o_orderkey FROM customer RIGHT JOIN {_BIG} ON c_custkey = o_custkey AND c_acctbal > 5000"),
     "join_full": ("select c_custkey, o_orderkey from few full join big on o_custkey == c_custkey", f"SELECT c_custkey, o_orderkey FROM {_FEW} FULL JOIN {_BIG} ON o_custkey = c_custkey"),
+    "join_full_whole": ("select c_custkey, o_orderkey from customer full join big on o_custkey == c_custkey and c_acctbal > 5000", f"SELECT c_custkey, o_orderkey FROM customer FULL JOIN {_BIG} ON o_custkey = c_custkey AND c_acctbal > 5000"),
     "join_left_null_filter": ("select c_custkey from few left join big on c_custkey == o_custkey where o_totalprice < 310000", f"SELECT c_custkey FROM {_FEW} LEFT JOIN {_BIG} ON c_custkey = o_custkey WHERE o_totalprice < 310000 OR o_totalprice IS NULL"),
+    "join_left_null_filter_whole": ("select c_custkey from customer left join big on c_custkey == o_custkey where o_totalprice < 310000", f"SELECT c_custkey FROM customer LEFT JOIN {_BIG} ON c_custkey = o_custkey WHERE o_totalprice < 310000 OR o_totalprice IS NULL"),
     "join_cross": ("select r_name, n_name from region join nation", "SELECT r_name, n_name FROM region CROSS JOIN nation"),
     "join_theta": ("select s_suppkey, c_custkey from sup join cus on s_acctbal > c_acctbal and c_nationkey == s_nationkey", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal AND c_nationkey = s_nationkey WHERE s_suppkey <= 20 AND c_custkey <= 50"),
     "join_theta_whole": ("select s_suppkey, c_custkey from supplier join customer on s_acctbal > c_acctbal and c_nationkey == s_nationkey", "SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON s_acctbal > c_acctbal AND c_nationkey = s_nationkey"),
@@ -94,6 +97,7 @@ SELECTS: dict[str, tuple[str, str]] = {
     "agg_empty": ("select count(l_quantity), max(l_quantity) from lineitem where l_quantity > 1000", "SELECT count(*) AS COUNT_l_quantity, max(l_quantity) AS MAX_l_quantity FROM lineitem WHERE l_quantity > 1000"),
     "agg_join": ("select n_name, count(c_custkey), max(c_acctbal) from customer join nation on c_nationkey == n_nationkey group by n_name", "SELECT n_name, count(*) AS COUNT_c_custkey, max(c_acctbal) AS MAX_c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
     "agg_outer_count": ("select c_custkey, count(o_orderkey) from few left join big on c_custkey == o_custkey group by c_custkey", f"SELECT c_custkey, count(*) AS COUNT_o_orderkey FROM {_FEW} LEFT JOIN {_BIG} ON c_custkey = o_custkey GROUP BY c_custkey"),
+    "agg_outer_count_whole": ("select c_custkey, count(o_orderkey) from customer left join big on c_custkey == o_custkey group by c_custkey", f"SELECT c_custkey, count(*) AS COUNT_o_orderkey FROM customer LEFT JOIN {_BIG} ON c_custkey = o_custkey GROUP BY c_custkey"),
     "having": ("select o_custkey, count(o_orderkey) from orders group by o_custkey having COUNT_o_orderkey > 15", "SELECT o_custkey, count(*) AS COUNT_o_orderkey FROM orders GROUP BY o_custkey HAVING count(*) > 15"),
     "having_call": ('select o_orderpriority from orders group by o_orderpriority, o_orderstatus having max(o_totalprice) > 400000 and o_orderstatus != "P"', "SELECT o_orderpriority FROM orders GROUP BY o_orderpriority, o_orderstatus HAVING max(o_totalprice) > 400000 AND o_orderstatus <> 'P'"),
     "group_no_aggregate": ("select p_brand, p_size from part group by p_brand, p_size", "SELECT p_brand, p_size FROM part GROUP BY p_brand, p_size"),

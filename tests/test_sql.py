@@ -297,3 +297,11 @@ def test_theta_join_reaches_whole_tables(spark):
     pairs = Counter((s, c) for s, n, x in suppliers for c, m, y in customers if x > y and n == m)
     assert Counter(rows(catalogue.queries()["join_theta_whole"](spark, DATA))) == pairs
     assert max(c for _, c in pairs) > 50
+
+
+def test_outer_joins_read_every_customer(spark):
+    out = {n: rows(catalogue.queries()[n](spark, DATA)) for n in ("join_right_whole", "join_full_whole", "join_left_null_filter_whole", "agg_outer_count_whole")}
+    everyone = {r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()}
+    assert {r[0] for r in out["agg_outer_count_whole"]} == everyone == {r[0] for r in out["join_full_whole"]} - {None}
+    assert any(r[0] is None for r in out["join_right_whole"]) and any(r[1] is None for r in out["join_full_whole"])
+    assert any(r[0] % 3 for r in out["join_left_null_filter_whole"])
