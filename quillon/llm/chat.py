@@ -1,8 +1,9 @@
 """Chat formatting by quotation linking.
 
 A message's quoted lines start with `>`, once for each level. Runs of one level are passages; passages, and the
-paragraphs and lines of what messages say themselves, are normalised and hashed. A passage is linked to the earliest
-earlier message of its conversation that has it, or else to the first message of any other conversation. Messages then
+paragraphs and lines of what messages say themselves, are normalised and hashed. A message has a passage if one of these
+is the passage, or if it has every paragraph of a trimmed one, as a whole or line by line. A passage is linked to the
+earliest earlier message of its conversation that has it, or else to the first message of any other. Messages then
 lose their quotes, conversations that quote one another form a thread, and each message knows what it replies to.
 """
 
@@ -71,6 +72,22 @@ def units(own: str) -> set[str]:
     return {_hash(n) for p in parts if (n := normalised(p))}
 
 
+def parts(passage: str) -> list[dict]:
+    """The hash of each paragraph of a passage and those of its lines; lines of marks only ("[...]") say nothing.
+
+    Empty for a single line, which is its own only part.
+    """
+    out = []
+    for paragraph in re.split(r"\n[ \t]*\n", passage):
+        lines = [n for x in paragraph.split("\n") if any(map(str.isalnum, n := normalised(x)))]
+        if lines:
+            out.append({"whole": _hash(" ".join(lines)), "lines": [_hash(n) for n in lines]})
+    return out if len(out) > 1 or out and (len(out[0]["lines"]) > 1 or out[0]["whole"] != _hash(normalised(passage))) else []
+
+
+_PASSAGES = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string()), ("key", pa.string()), ("parts", pa.list_(pa.struct([("whole", pa.string()), ("lines", pa.list_(pa.string()))])))]))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own, passages, units of every row with a conv_id and a turn."""
 
@@ -80,13 +97,34 @@ def parsed(messages: DataFrame) -> DataFrame:
             for text in batch.column(3).to_pylist():
                 own, found = parse(text)
                 owns.append(own)
-                quotes.append([{"level": n, "hash": _hash(normalised(p))} for n, p in found])
+                split = [(n, _hash(normalised(p)), parts(p)) for n, p in found]
+                quotes.append([{"level": n, "hash": h, "key": _hash(repr((h, q))), "parts": q} for n, h, q in split])
                 hashes.append(sorted(units(own)))
-            passages = pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.string())])))
+            passages = pa.array(quotes, _PASSAGES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(owns, pa.string()), passages, pa.array(hashes, pa.list_(pa.string()))], ["conv_id", "turn", "role", "own", "passages", "units"])
 
     rows = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, own string, passages array<struct<level:int,hash:string>>, units array<string>")
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, own string, passages array<struct<level:int,hash:string,key:string,parts:array<struct<whole:string,lines:array<string>>>>>, units array<string>")
+
+
+def _has_parts(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """conv_id, turn, hash: messages that have every part of a passage that somebody asks for. held: the messages' units.
+
+    Only the holders of a passage's rarest paragraph (as a whole, or of its rarest line) are looked at.
+    """
+    asked = checkpointed(rows.select(F.explode("passages").alias("p")).where(F.size("p.parts") > 0).select("p.key", "p.hash", "p.parts").dropDuplicates(["key"]))
+    each = asked.select("key", F.posexplode("parts").alias("j", "p")).select("key", "j", "p.whole", F.explode("p.lines").alias("line"))
+    names = each.select(F.explode(F.array("whole", "line")).alias("hash")).distinct()
+    counts = checkpointed(held.join(names, "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("holders")))
+    of = lambda c: counts.select(F.col("hash").alias(c), F.col("holders").alias(f"n_{c}"))
+    n = F.coalesce("n_line", F.lit(0))
+    rare = each.join(of("line"), "line", "left").groupBy("key", "j", "whole").agg(F.min(F.struct(n.alias("n"), "line")).alias("rare"))
+    cost = F.col("rare.n") + F.coalesce("n_whole", F.lit(0))
+    best = rare.join(of("whole"), "whole", "left").groupBy("key").agg(F.min(F.struct(cost, "j", "whole", "rare.line")).alias("best"))
+    tried = best.select("key", F.explode(F.array_distinct(F.array("best.whole", "best.line"))).alias("hash"))
+    found = held.join(checkpointed(tried), "hash").select("conv_id", "turn", "key").distinct()
+    whole = F.forall("parts", lambda p: F.array_contains("units", p["whole"]) | F.forall(p["lines"], lambda x: F.array_contains("units", x)))
+    return found.join(asked, "key").join(rows.select("conv_id", "turn", "units"), ["conv_id", "turn"]).where(whole).select("conv_id", "turn", "hash")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
@@ -103,7 +141,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     asked = rows.where(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("n", "p")).select("conv_id", "turn", "n", "p.level", "p.hash").distinct()
     wanted = checkpointed(asked)
     # only units that some passage asks for are grouped; the earliest holder is the original
-    held = held.join(wanted.select("hash").distinct(), "hash", "left_semi")
+    held = held.join(wanted.select("hash").distinct(), "hash", "left_semi").select("conv_id", "turn", "hash").unionByName(_has_parts(rows, held))
     here = checkpointed(held.groupBy("conv_id", "hash").agg(F.min("turn").alias("turn_here")))
     holder = F.min(F.struct("conv_id", F.col("turn_here").alias("turn")))
     first = here.groupBy("hash").agg(holder.alias("first"))

@@ -373,3 +373,19 @@ def test_stage_edges(spark, tmp_path, k):
     assert out.where("score = 'mine' and kept = 'mine' and fp = 'mine' and version = 'mine'").count() == out.count() > 0
     if k < 4:
         assert out.columns == odd.columns
+
+
+def test_trimmed_quotes_are_linked(spark):
+    original = "First words here.\n\nSecond part, line one\nline two of it\nline three of it\n\nThe last words."
+    quotes = [
+        "> First words here.\n>\n> Second part, line one\n> line two of it\n> line three of it\n\nyes",  # two paragraphs of three
+        "> line two of it\n> line three of it\n\nyes",  # two lines of three
+        "> First words here.\n> [...]\n> line three of it\n\nyes",  # two parts in one block
+        "> First words here.\n>\n> Second part, line one line two of it\n> line three of it\n\nyes",  # and wrapped anew
+        "> First words here.\n> words that nobody wrote\n\nno",
+    ]
+    rows = [(1, 0, "user", original), (1, 1, "user", "line two of it"), *((1, 2 + i, "user", q) for i, q in enumerate(quotes)), (2, 0, "user", quotes[1])]
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv_id"], r["reply_turn"], r["n_linked"]) for r in out.collect()}
+    assert [got[1, 2 + i] for i in range(5)] == [(1, 0, 1)] * 4 + [(None, None, 0)]
+    assert got[2, 0] == (1, 0, 1)
