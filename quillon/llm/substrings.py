@@ -107,33 +107,35 @@ def _apart(rows: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, hashes, whole: what to remove of each document. docs: doc_id (not null), text.
+    """doc_id, version, hashes, whole: what to remove of each document. docs: doc_id (not null), version, text.
+
+    version tells rows of one doc_id apart; documents are told apart by doc_id alone.
 
     hashes: of its windows that also start in a document with a smaller doc_id; whole: its text is one of those.
     """
     chain = levels(window)
-    texts = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    texts = docs.select("doc_id", "version", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
     # written down, so that Spark can split the partition of a text that very many documents have
     first = checkpointed(texts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first"))
-    copies = checkpointed(texts.join(first, "digest").where("doc_id > first").select("doc_id").distinct())
+    copies = checkpointed(texts.join(first, "digest").where("doc_id > first").select("doc_id", "version").distinct())
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list[np.ndarray]] = [[], [], []]
-            for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = words(text)
                 if len(tokens) >= window:
                     h = np.unique(_anchor(word_hashes(tokens), chain[0], chain[1]) if len(chain) > 1 else word_hashes(tokens))
                     out[0].append(h.view(np.int64))
                     out[1].append(np.full(len(h), doc))
-                    out[2].append(np.full(len(h), np.int64(xxhash.xxh3_64_intdigest(text) - (1 << 63))))
-            yield pa.RecordBatch.from_arrays(_arrays(out, ["i8", "i8", "i8"]), ["h", "doc_id", "text_hash"])
+                    out[2].append(np.full(len(h), version))
+            yield pa.RecordBatch.from_arrays(_arrays(out, ["i8", "i8", "i8"]), ["h", "doc_id", "version"])
 
     def extend(level: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                out: list[list[np.ndarray]] = [[], [], []]
-                for doc, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for doc, version, text, some in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     h = word_hashes(words(text))
                     at = _candidates(h, some, chain, level) if len(h) >= window else ()
                     if len(at):
@@ -142,20 +144,21 @@ def repeated(docs: DataFrame, window: int) -> DataFrame:
                         out[0].append(every[where].view(np.int64))
                         out[1].append((window_hashes(_second(h), chain[level])[where] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                         out[2].append(np.full(len(where), doc))
-                yield pa.RecordBatch.from_arrays(_arrays(out, ["i8", "i4", "i8"]), ["h", "g", "doc_id"])
+                        out[3].append(np.full(len(where), version))
+                yield pa.RecordBatch.from_arrays(_arrays(out, ["i8", "i4", "i8", "i8"]), ["h", "g", "doc_id", "version"])
 
         return run
 
-    rows = docs.mapInArrow(anchors, "h long, doc_id long, text_hash long")
-    shared = rows.groupBy("h").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low <> high").select("h")
-    some = _apart(rows.select("h", "doc_id"), shared).groupBy("doc_id").agg(F.collect_set("h").alias("some"))
+    rows = docs.mapInArrow(anchors, "h long, doc_id long, version long")
+    shared = rows.groupBy("h").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low <> high").select("h")
+    some = _apart(rows, shared).groupBy("doc_id", "version").agg(F.collect_set("h").alias("some"))
     for level in range(1, len(chain)):
-        kept = some.join(copies, "doc_id", "left_anti")
-        rows = docs.join(kept.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "some").mapInArrow(extend(level), "h long, g int, doc_id long")
+        kept = some.join(copies, ["doc_id", "version"], "left_anti")
+        rows = docs.join(kept.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "version", "text", "some").mapInArrow(extend(level), "h long, g int, doc_id long, version long")
         shared = rows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
-        some = _apart(rows, shared).groupBy("doc_id").agg(F.collect_set("h").alias("some"))
-    removed = _apart(rows, shared).where("doc_id > first").select("doc_id", "h", F.lit(False).alias("whole"))
-    return removed.unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("h"), F.lit(True).alias("whole"))).groupBy("doc_id").agg(F.collect_list("h").alias("hashes"), F.max("whole").alias("whole"))
+        some = _apart(rows, shared).groupBy("doc_id", "version").agg(F.collect_set("h").alias("some"))
+    removed = _apart(rows, shared).where("doc_id > first").select("doc_id", "version", "h", F.lit(False).alias("whole"))
+    return removed.unionByName(copies.select("doc_id", "version", F.lit(None).cast("long").alias("h"), F.lit(True).alias("whole"))).groupBy("doc_id", "version").agg(F.collect_list("h").alias("hashes"), F.max("whole").alias("whole"))
 
 
 def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -169,9 +172,9 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     if window < 2:
         raise ValueError("a window has two words at least")
     rows = documents(docs)
-    named = rows.where("doc_id IS NOT NULL")
+    named = rows.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), "text")
     plan = repeated(named, window)
-    joined = named.join(plan.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hashes", "whole")
+    joined = named.join(plan.hint("shuffle_hash"), ["doc_id", "version"], "left").select("doc_id", "text", "hashes", "whole")
     nameless = rows.where("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast("array<long>").alias("hashes"), F.lit(None).cast("boolean").alias("whole"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

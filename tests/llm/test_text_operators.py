@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm import bpe, decontaminate, lines, packing, substrings
 from quillon.llm.queries import PATTERN, VOCABULARY, tokenizer
 
-from .fixtures import awkward, clashing, frame
+from .fixtures import awkward, clashing, frame, sentence
 
 ENCODING = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
 
@@ -293,3 +294,12 @@ def test_packing_write(spark, tmp_path):
     assert packing.matrix(rows, 64, 1 << 20).shape == (len(rows), 64) and len(rows) == packed.count()
     with pytest.raises(ValueError):
         packing.pack(frame(spark), tokenizer(VOCABULARY, PATTERN), 0)
+
+
+def test_a_copy_spares_another_text_of_its_doc_id(spark):
+    rng = random.Random(5)
+    copied, unique, shared = sentence(rng, 60), sentence(rng, 70), sentence(rng, 50)
+    rows = [(1, copied), (1, ""), (2, copied), (2, unique), (3, None), (3, f"{unique} more"), (4, copied), (4, f"{shared} x"), (5, f"y {shared}")]
+    out = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["kept"]) for r in out.collect())
+    assert got == Counter([(1, copied), (1, ""), (2, ""), (2, unique), (3, ""), (3, "more"), (4, ""), (4, f"{shared} x"), (5, "y")])
