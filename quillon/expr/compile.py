@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -67,48 +70,75 @@ class Context:
         self.variables[name] = value
 
 
-_FOLD: dict[str, Callable[[Any, Any], Any]] = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "&&": lambda a, b: a and b, "||": lambda a, b: a or b}
+def _quotient(a: Any, b: Any) -> Any:
+    if isinstance(a, int) and isinstance(b, int):
+        if b == 0:
+            raise E.DivisionError(f"{a} / 0")
+        return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
+    if b == 0:
+        return math.nan if a == 0 or a != a else math.copysign(math.inf, a)
+    return a / b
+
+
+def _remainder(a: Any, b: Any) -> Any:
+    if isinstance(a, int) and isinstance(b, int):
+        if b == 0:
+            raise E.ModulationError(f"{a} % 0")
+        return a - b * _quotient(a, b)
+    return math.nan if b == 0 or math.isinf(a) else math.fmod(a, b)
+
+
+def _power(a: float, b: float) -> Any:
+    try:
+        return math.pow(a, b)
+    except (OverflowError, ValueError):
+        return UNKNOWN  # infinities and NaN as Spark has them
+
+
+_FOLD: dict[str, Callable[[Any, Any], Any]] = {
+    "+": operator.add, "-": operator.sub, "*": operator.mul, "/": _quotient, "%": _remainder, "^": _power,
+    "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
+    "&&": lambda a, b: a and b, "||": lambda a, b: a or b,
+}
 _OVERFLOW = {"+": E.AdditionError, "-": E.SubtractionError, "*": E.MultiplicationError}
 
 
-def _folded(op: str, a: Typed, b: Typed) -> Any:
+def _folded(op: str, a: Typed, b: Typed) -> Typed | None:
     """The value if it is known already; overflows are found here rather than in the first row."""
-    if not (a.known and b.known) or a.const is None or b.const is None:
-        return UNKNOWN
-    if op in _FOLD:
-        value = _FOLD[op](a.const, b.const)
-    elif op in ("/", "%") and a.kind == b.kind == "int":
-        if b.const == 0:
-            raise (E.DivisionError if op == "/" else E.ModulationError)(f"{a.const} {op} 0")
-        whole = abs(a.const) // abs(b.const) * (1 if (a.const < 0) == (b.const < 0) else -1)
-        value = whole if op == "/" else a.const - b.const * whole
-    else:
-        return UNKNOWN
-    if isinstance(value, int) and not isinstance(value, bool) and not -(1 << 63) <= value < 1 << 63:
+    if not (a.known and b.known) or a.const is None or b.const is None or "tuple" in (a.kind, b.kind):
+        return None
+    x, y = a.const, b.const
+    if "float" in (a.kind, b.kind) or op == "^":
+        x, y = float(x), float(y)
+    value = _FOLD[op](x, y)
+    if value is UNKNOWN:
+        return None
+    if type(value) is int and not -(1 << 63) <= value < 1 << 63:
         raise _OVERFLOW.get(op, E.DivisionError)(f"{a.const} {op} {b.const}")
-    return value
+    return constant(value)
 
 
 def _arithmetic(op: str, a: Typed, b: Typed) -> Typed:
     if op == "+" and a.kind == b.kind == "string":
-        return Typed("string", F.concat(a.column, b.column), a.nullable or b.nullable, _folded(op, a, b))
+        return _folded(op, a, b) or Typed("string", F.concat(a.column, b.column), a.nullable or b.nullable)
     if op == "+":
         if not {a.kind, b.kind} <= {"int", "float"}:
             raise E.WrongTypeCombination(f"{a.kind} + {b.kind}")
     else:
         a.need("int", "float")
         b.need("int", "float")
+    if known := _folded(op, a, b):
+        return known
     nullable = a.nullable or b.nullable
     if op == "^":
         return Typed("float", F.pow(a.double(), b.double()), nullable)
-    const = _folded(op, a, b)
     if a.kind == b.kind == "int":
         x, y = a.long(), b.long()
         column = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: F.call_function("div", x, y), "%": lambda: x % y}[op]()
-        return Typed("int", column, nullable, const)
+        return Typed("int", column, nullable)
     x, y = a.double(), b.double()
     column = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: divide(x, y), "%": lambda: remainder(x, y)}[op]()
-    return Typed("float", column, nullable, const)
+    return Typed("float", column, nullable)
 
 
 def comparison(op: str, a: Typed, b: Typed) -> Typed:
@@ -132,8 +162,10 @@ def comparison(op: str, a: Typed, b: Typed) -> Typed:
         raise E.ExpectedNumberOrString(f"{a.kind} {op} {b.kind}")
     if op not in ("==", "!=") and not {a.kind, b.kind} <= numbers | {"string", "empty", "other"}:
         raise E.ExpectedNumberOrString(f"{a.kind} {op} {b.kind}")
+    if known := _folded(op, a, b):
+        return known
     column = compare(op, a.column, b.column, a.nullable, b.nullable, a.nan, b.nan)
-    return Typed("boolean", column, a.nullable or b.nullable, _folded(op, a, b))
+    return Typed("boolean", column, a.nullable or b.nullable)
 
 
 def decided_(t: Typed) -> Typed:
@@ -143,13 +175,15 @@ def decided_(t: Typed) -> Typed:
 def _logic(op: str, a: Typed, b: Typed) -> Typed:
     a.need("boolean")
     b.need("boolean")
+    if known := _folded(op, a, b):
+        return known
     column = a.column & b.column if op == "&&" else a.column | b.column
-    return Typed("boolean", column, a.nullable or b.nullable, _folded(op, a, b))
+    return Typed("boolean", column, a.nullable or b.nullable)
 
 
 def _not(a: Typed) -> Typed:
     a = decided_(a.need("boolean"))
-    return Typed("boolean", ~a.column, False, not a.const if a.known else UNKNOWN)
+    return constant(not a.const) if a.known else Typed("boolean", ~a.column)
 
 
 def wildcard(a: Typed, b: Typed) -> Typed:
@@ -171,6 +205,22 @@ def binary(op: str, a: Typed, b: Typed) -> Typed:
 
 
 def compile_node(node: Node, context: Context) -> Typed:
+    """Children before their parents, from left to right, on a stack of its own."""
+    waiting: list[tuple[Node, bool]] = [(node, False)]
+    made: list[Typed] = []
+    while waiting:
+        n, entered = waiting.pop()
+        if entered or not n.children:
+            cut = len(made) - len(n.children)
+            made[cut:] = [_combined(n, made[cut:], context)]
+        else:
+            waiting.append((n, True))
+            waiting += ((c, False) for c in reversed(n.children))
+    return made[0]
+
+
+def _combined(node: Node, values: list[Typed], context: Context) -> Typed:
+    """A node's value from those of its children."""
     if node.kind == "const":
         return constant(node.value)
     if node.kind == "empty":
@@ -180,15 +230,12 @@ def compile_node(node: Node, context: Context) -> Typed:
             raise E.VariableIdentifierNotFound(node.value)
         return context.variables[node.value]
     if node.kind == "tuple":
-        return tuple_of(tuple(_shown(compile_node(c, context)) for c in node.children))
+        return tuple_of(tuple(map(_shown, values)))
     if node.kind == "chain":
-        out = constant(None)
-        for c in node.children:
-            out = compile_node(c, context)
-        return out
+        return values[-1]
     if node.kind == "assign":
         name, op = node.value
-        value = compile_node(node.children[0], context)
+        value = values[0]
         if op:
             if name not in context.variables:
                 raise E.VariableIdentifierNotFound(name)
@@ -196,21 +243,22 @@ def compile_node(node: Node, context: Context) -> Typed:
         context.assign(name, _shown(value))
         return constant(None)
     if node.kind == "call":
-        argument = compile_node(node.children[0], context)
+        argument = values[0]
         args = [] if argument.kind == "empty" and node.children[0].kind == "empty" else list(argument.parts) if argument.kind == "tuple" else [argument]
         rule = context.registry.functions.get(node.value) or BUILTINS.get(node.value)
         if rule is None:
             raise E.FunctionIdentifierNotFound(node.value)
         return rule([_shown(a) for a in args])
-    first = compile_node(node.children[0], context)
     if node.value == "!":
-        return _not(first)
+        return _not(values[0])
     if node.value == "neg":
-        first.need("int", "float")
-        if first.known and first.const == -(1 << 63):
-            raise E.NegationError(str(first.const))
-        return Typed(first.kind, -(first.long() if first.kind == "int" else first.double()), first.nullable, -first.const if first.known else UNKNOWN)
-    return binary(node.value, first, compile_node(node.children[1], context))
+        first = values[0].need("int", "float")
+        if first.known:
+            if first.const == -(1 << 63) and first.kind == "int":
+                raise E.NegationError(str(first.const))
+            return constant(-first.const)
+        return Typed(first.kind, -(first.long() if first.kind == "int" else first.double()), first.nullable)
+    return binary(node.value, *values)
 
 
 def _shown(t: Typed) -> Typed:
@@ -243,19 +291,28 @@ def _python(value: Any, t: Typed) -> Any:
 
 def evaluate(spark: SparkSession, text: str | Node, context: Context | None = None) -> Any:
     """The value of an expression without rows: str, float, int, bool, tuple, or None for the empty value."""
-    context = context or Context()
-    t = compile_text(text, context)
-    return _python(spark.range(1).select(t.column.alias("v")).first()["v"], t)
+    return _value(spark, compile_text(text, context or Context()))
+
+
+def _value(spark: SparkSession, t: Typed) -> Any:
+    """Known values need no job."""
+    return t.const if t.known else _python(spark.range(1).select(t.column.alias("v")).first()["v"], t)
 
 
 def evaluate_as(spark: SparkSession, kind: str, text: str | Node, context: Context | None = None) -> Any:
-    """evaluate(), but raise unless the value is of this kind; `number` takes ints and floats and gives a float."""
-    context = context or Context()
-    t = compile_text(text, context)
+    """evaluate(), but raise unless the value is of this kind; `number` takes ints and floats and gives a float.
+
+    text may be a tree that was parsed before. A context that takes assignments keeps them.
+    """
+    t = compile_text(text, context or Context())
     if kind == "number":
-        t.need("int", "float")
-        return float(evaluate(spark, parse("v"), Context({"v": t})))
-    t.need(kind)
-    return evaluate(spark, parse("v"), Context({"v": t}))
+        return float(_value(spark, t.need("int", "float")))
+    return _value(spark, t.need(kind))
+
+
+def _of_kind(kind: str, spark: SparkSession, text: str | Node, context: Context | None = None) -> Any:
+    """evaluate_as() with the kind first."""
+    return evaluate_as(spark, kind, text, context)
 
 
+evaluate_string, evaluate_int, evaluate_float, evaluate_number, evaluate_boolean, evaluate_tuple, evaluate_empty = (functools.partial(_of_kind, k) for k in ("string", "int", "float", "number", "boolean", "tuple", "empty"))

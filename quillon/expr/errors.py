@@ -11,6 +11,7 @@ def _kind(name: str, doc: str) -> type[ExpressionError]:
     return type(name, (ExpressionError,), {"__doc__": doc, "__module__": __name__})
 
 
+#: The kinds of errors.
 WrongOperatorArgumentAmount = _kind("WrongOperatorArgumentAmount", "An operator has too few or too many operands.")
 WrongFunctionArgumentAmount = _kind("WrongFunctionArgumentAmount", "A function has too few or too many arguments.")
 ExpectedString = _kind("ExpectedString", "Something else than a string.")

@@ -49,19 +49,26 @@ class Typed:
         return self.need("int", "float").column.cast("double")
 
 
+class Constant(Typed):
+    """A known value. Its column is made when it is asked for: most constants go into others."""
+
+    def __init__(self, kind: str, const: Any):
+        for name, value in (("kind", kind), ("nullable", kind == "empty"), ("const", const), ("parts", ())):
+            object.__setattr__(self, name, value)
+
+    @property
+    def column(self) -> Column:
+        return F.lit(self.const).cast("long") if self.kind == "int" else F.lit(self.const)
+
+
+_KINDS = {type(None): "empty", bool: "boolean", int: "int", float: "float", str: "string"}
+
+
 def constant(value: Any) -> Typed:
-    if value is None:
-        return Typed("empty", F.lit(None), True, None)
-    if isinstance(value, bool):
-        return Typed("boolean", F.lit(value), False, value)
-    if isinstance(value, int):
-        return Typed("int", F.lit(value).cast("long"), False, value)
-    if isinstance(value, float):
-        return Typed("float", F.lit(value), False, value)
+    if type(value) in _KINDS:
+        return Constant(_KINDS[type(value)], value)
     if isinstance(value, (tuple, list)):
         return tuple_of(tuple(constant(v) for v in value))
-    if isinstance(value, str):
-        return Typed("string", F.lit(value), False, value)
     raise E.TypeError_(f"no value of the language: {value!r}")
 
 

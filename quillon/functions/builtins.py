@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..expr import errors as E
@@ -89,7 +89,10 @@ def _string(f: Callable[[Column], Column]) -> Callable[[list[Typed]], Typed]:
 
 
 def _extreme(least: bool) -> Callable[[list[Typed]], Typed]:
-    """Ints stay ints; of a mix the int wins only if it is strictly better, and then as an int if that is known now."""
+    """Ints stay ints; of a mix the int wins only if it is strictly better, and then as an int if that is known now.
+
+    NaN and NULL are left out; what is left of NaN and NULL alone is NaN.
+    """
 
     def rule(args: list[Typed]) -> Typed:
         if not args:
@@ -97,14 +100,19 @@ def _extreme(least: bool) -> Callable[[list[Typed]], Typed]:
         for a in args:
             a.need("int", "float")
         pick, better = (min, lambda a, b: a < b) if least else (max, lambda a, b: a > b)
-        ints, floats = ([a for a in args if a.kind == k] for k in ("int", "float"))
-        if ints and floats and all(a.known for a in args):
-            i, f = pick(a.const for a in ints), pick(a.const for a in floats)
-            return constant(i if better(float(i), f) else f)
-        columns = [a.double() if floats else a.long() for a in args]
-        one = columns[0] if len(columns) == 1 else (F.least if least else F.greatest)(*columns)
-        const = pick(a.const for a in args) if all(a.known for a in args) else UNKNOWN
-        return Typed("float" if floats else "int", one, all(a.nullable for a in args), const)
+        floats = [a for a in args if a.kind == "float"]
+        if all(a.known for a in args):
+            i = pick((a.const for a in args if a.kind == "int"), default=None)
+            f = pick((a.const for a in floats if a.const == a.const), default=NAN if floats else None)
+            return constant(i if f is None or i is not None and (f != f or better(float(i), f)) else f)
+        if not floats:
+            columns = [a.long() for a in args]
+            one = columns[0] if len(columns) == 1 else (F.least if least else F.greatest)(*columns)
+            return Typed("int", one, all(a.nullable for a in args))
+        columns = [a.double() for a in args]
+        real = [F.when(~F.isnan(c), c) if a.nan else c for a, c in zip(args, columns, strict=True)]
+        one = real[0] if len(real) == 1 else (F.least if least else F.greatest)(*real)
+        return Typed("float", F.coalesce(one, *columns), all(a.nullable for a in args))
 
     return rule
 
@@ -145,10 +153,11 @@ def _from(args: list[Typed]) -> Typed:
 
 
 def _pattern(p: Typed) -> None:
+    """A known pattern is compiled once by the engine that will run it."""
     if p.known:
         try:
-            re.compile(p.const)
-        except re.error as e:
+            SparkSession.active()._jvm.java.util.regex.Pattern.compile(p.const)
+        except IllegalArgumentException as e:
             raise E.InvalidRegex(f"{p.const}: {e}") from e
 
 
@@ -181,6 +190,7 @@ def _shift(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column],
     return lambda a, b: f(a, b.cast("int"))
 
 
+#: The functions' names.
 BUILTINS: dict[str, Callable[[list[Typed]], Typed]] = {
     "math::ln": _float(lambda x: ieee(F.log, x), 1),
     "math::log": _float(lambda x, base: divide(ieee(F.log, x), ieee(F.log, base)), 2),
@@ -218,7 +228,7 @@ BUILTINS: dict[str, Callable[[list[Typed]], Typed]] = {
     "shr": _bits(_shift(lambda a, b: F.call_function("shiftright", a, b)), 2),
 } | {f"math::{f}": _float(getattr(F, f), 1) for f in ("cos", "acos", "cosh", "acosh", "sin", "asin", "sinh", "asinh", "tan", "atan", "tanh", "atanh", "sqrt", "cbrt")}
 
-#: Named constants that a context can offer.
+#: Named constants that a context can offer.
 CONSTANTS = {
     "PI": math.pi,
     "TAU": math.tau,

@@ -60,18 +60,21 @@ def decided(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def glob_regex(pattern: str) -> str:
-    """`*` any run, `?` one character, all else itself, over the whole string."""
-    parts = re.split(r"([*?])", pattern)
-    body = "".join(".*" if p == "*" else "." if p == "?" else "\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in parts if p)
-    return rf"(?s)\A{body}\z"
-
-
 def like(value: Column, pattern: str) -> Column:
-    """Wildcard match; SQL LIKE where it can say the same, since that can be pushed down as a prefix."""
-    if "\\" not in pattern and "%" not in pattern and "_" not in pattern:
-        return value.like(pattern.replace("*", "%").replace("?", "_"))
-    return value.rlike(glob_regex(pattern))
+    """Wildcard match: `*` any run, `?` one character, all else itself, over the whole string.
+
+    Equality, prefix, suffix and substring are stated as such, which the Parquet reader can use; the rest is SQL LIKE.
+    """
+    fixed = pattern.strip("*")
+    if "?" not in pattern and "*" not in fixed:
+        if pattern == fixed:
+            return value == pattern
+        if not fixed:
+            return value.isNotNull()
+        if not pattern.startswith("*"):
+            return value.startswith(fixed)
+        return value.contains(fixed) if pattern.endswith("*") else value.endswith(fixed)
+    return value.like(re.sub(r"[%_\\]", r"\\\g<0>", pattern).replace("*", "%").replace("?", "_"))
 
 
 def like_column(value: Column, pattern: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +14,7 @@ from . import dml
 from .plans.select import Table, compile_select
 from .sources import dump
 from .sources.catalog import Catalog
+from .sources.store import Store, shared_folder
 from .sql import ast
 from .sql.parser import SqlError, parse
 
@@ -31,7 +32,8 @@ class Status:
 class Session:
     """SQL over registered frames and over the tables of a database under root.
 
-    root is a folder that executors share; left out, a temporary one is made when it is first needed (local use only).
+    root is a folder that executors share; left out, one is made in the shared checkpoint folder (or the warehouse) when
+    it is first needed, and goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
@@ -42,7 +44,10 @@ class Session:
     @property
     def catalog(self) -> Catalog:
         if self._catalog is None:
-            self._catalog = Catalog(self.spark, self._root or f"file://{tempfile.mkdtemp(prefix='quillon-')}")
+            if self._root is None:
+                self._root = f"{shared_folder(self.spark)}/quillon-{uuid.uuid4().hex}"
+                Store(self.spark, self._root).delete_at_exit()
+            self._catalog = Catalog(self.spark, self._root)
         return self._catalog
 
     def register(self, name: str, df: DataFrame, schema: T.StructType | None = None) -> None:
@@ -122,6 +127,10 @@ class Session:
         """batch() on the text of a file."""
         return self.batch(dump.read(self.spark, path))
 
+    def vacuum(self, table: str) -> Status:
+        """Join the files that single INSERTs left and delete old versions; see Catalog.vacuum()."""
+        return Status(f"vacuumed {table}", self.catalog.vacuum(self._connected(), table))
+
     def results(self, df: DataFrame) -> Iterator[list[Row]]:
         """Rows in batches, a partition at a time on the driver."""
         held: list[Row] = []
