@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import Store, shared_folder
+
 #: Bytes that bytes.split() and bytes.strip() treat as space: \x20 and \x09-\x0D.
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -33,14 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests), one of our own."""
+    """A folder for this application in spark.checkpoint.dir (in the warehouse where that is unset), set for checkpoints.
+
+    What is written there goes when the driver ends; Spark deletes it earlier if the session was made with
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     sc = spark.sparkContext
-    if not (given := spark.conf.get("spark.checkpoint.dir", None)):
+    given = sc._jsc.sc().getCheckpointDir()
+    if not given.isDefined():
+        sc.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
         given = sc._jsc.sc().getCheckpointDir()
-        given = given.get() if given.isDefined() else tempfile.mkdtemp(prefix="quillon-checkpoint-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(given)
-    return given
+    folder = given.get()
+    if folder not in _folders:
+        Store(spark, folder).delete_at_exit()
+        _folders.add(folder)
+    return folder
+
+
+_folders: set[str] = set()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -49,6 +61,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table, where later reads want some of the columns only, or compression."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text of a documents table, whatever else it holds."""
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
