@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, slices
@@ -23,11 +23,15 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """per_lang and max_langs bound the rows that are gathered for fitting (the most frequent languages are learned)."""
+    """per_lang and rows bound what is gathered for fitting: 2 kB each of per_lang rows of a language, of fewer if the
+    languages are so many that they would be more than `rows` together, but of some of every language. Landmarks are
+    so many, or per_lang_landmarks of each language if that is more."""
 
     per_lang: int = 300
-    max_langs: int = 200
+    rows: int = 12_000
+    least_per_lang: int = 8
     landmarks: int = 160
+    per_lang_landmarks: int = 4
     bits: int = 14
     ridge: float = 0.01
     longest: int = 3
@@ -80,18 +84,37 @@ class Model:
 def fit(texts: list[str | None], langs: list[str], settings: Settings = Settings()) -> Model:
     """Learn from texts and their languages; texts without a letter teach nothing."""
     rows = [(t, g) for t, g in zip(texts, langs, strict=True) if t and g is not None and any(map(str.isalpha, t))]
-    names = sorted({g for _, g in rows})
+    return fit_packed([packed(t, settings) for t, _ in rows], [g for _, g in rows], settings)
+
+
+def packed(text: str, settings: Settings) -> bytes:
+    """A bit for each hashed n-gram: whether the text holds it."""
+    bits = np.zeros(1 << settings.bits, dtype=bool)
+    bits[grams(text, settings)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    x = np.unpackbits(np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
+
+def fit_packed(rows: list[bytes], langs: list[str], settings: Settings) -> Model:
+    """fit() on packed texts. Only the landmarks are unpacked together."""
+    names = sorted(set(langs))
     if not names:
         return Model(settings, [], np.zeros((1 << settings.bits, 0), np.float32))
-    y = np.array([names.index(g) for _, g in rows])
-    x = presence([t for t, _ in rows], settings)
-    by_turn = np.lexsort((y, [int((y[:i] == y[i]).sum()) for i in range(len(y))]))  # each language's first, second, ...
-    z = x[by_turn[: max(settings.landmarks, len(names))]]
+    y = np.searchsorted(names, langs)
+    share = np.bincount(y, minlength=len(names))
+    by_lang = np.argsort(y, kind="stable")
+    turn = np.empty(len(y), np.int64)
+    turn[by_lang] = np.arange(len(y)) - np.repeat(np.cumsum(share) - share, share)  # each language's first, second, ...
+    chosen = np.lexsort((y, turn))[: max(settings.landmarks, settings.per_lang_landmarks * len(names))]
+    z = _unpacked([rows[i] for i in chosen])
     values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ z.T).astype(np.float64) @ whiten
-    share = np.bincount(y, minlength=len(names))
+    phi = np.concatenate([(_unpacked(rows[i : i + 512]) @ z.T).astype(np.float64) @ whiten for i in range(0, len(rows), 512)])
     each = (len(y) / (len(names) * share))[y]  # languages weigh the same
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     solved = np.linalg.solve((phi * each[:, None]).T @ phi + settings.ridge * np.eye(phi.shape[1]), (phi * each[:, None]).T @ target)
@@ -101,23 +124,38 @@ def fit(texts: list[str | None], langs: list[str], settings: Settings = Settings
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on about per_lang documents of each language, by the hash of doc_id, none of the held-out fifth.
 
-    Rows with a null doc_id, text or lang teach nothing. With fewer than two languages the answer is the only one.
+    Rows with a null doc_id, text or lang teach nothing, nor do texts without a letter. With fewer than two languages
+    the answer is the only one. Texts are packed where they are read: their n-grams travel, 2 kB a row whatever the text
+    is, and of doc_ids that repeat no more rows are gathered than of others.
     """
-    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_langs).collect()
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    counts = usable.groupBy("lang").count().collect()  # one row a language
     if not counts:
         return fit([], [], settings)
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, settings.per_lang / r["count"])))])
-    chosen = usable.where(u < F.coalesce(rate[F.col("lang")], F.lit(0.0))).orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(2 * settings.per_lang * len(counts))
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py(), rows["lang"][i].as_py()))
-    rows = rows.take(pa.array(order, pa.int64()))
-    return fit(rows["text"].to_pylist(), rows["lang"].to_pylist(), settings)
+    wanted = min(settings.per_lang, max(settings.least_per_lang, settings.rows // len(counts)))
+    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # twice the share that is wanted, so that a rank by hash can take the exact number; small languages whole
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2 * wanted + 50) / r["count"])))])
+    some = usable.where(u < rate[F.col("lang")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            bits = [packed(t, settings) if any(map(str.isalpha, t)) else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(bits, pa.binary())], ["doc_id", "lang", "bits"])
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "bits"))
+    rows = some.mapInArrow(pack, "doc_id long, lang string, bits binary").where("bits IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= wanted)
+    rows = rows.orderBy("doc_id", "lang", "bits").toArrow()  # at most max(rows, 8 a language), 2 kB each
+    return fit_packed(rows["bits"].to_pylist(), rows["lang"].to_pylist(), settings)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row: `und` and 0 for a text that is null or has no letter. Repeats stay."""
+    """doc_id, lang_pred, score of every row: `und` and 0 for a text that is null or has no letter.
+
+    Rows that repeat each give a row; an empty table gives an empty one; other columns, of whatever name, are ignored;
+    a text of any length is scored whole. Of languages that score the same the first by name is taken.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.settings, model.langs, model.weights))  # 64 kB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
