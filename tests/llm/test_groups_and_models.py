@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -226,7 +227,7 @@ def test_top_k(spark):
     vectors += [(200 + i, vectors[5][1]) for i in range(40)]  # ties
     vectors += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0, 2.0]), (400, [3.0, 1.0]), (305, []), (306, [0.0] * 6), (None, [1.0] * 6), (7, vectors[7][1])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("rank", F.lit(1))
-    real = {(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    real = [(i, tuple(int(np.floor(1024 * x)) for x in v)) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     got = defaultdict(list)
     for r in topk.top_k(df, df.where("vec_id % 100 = 0"), query_block=2, block=16).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
@@ -240,6 +241,37 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_repeated_rows_as_in_sql(spark, tmp_path):
+    rng = random.Random(9)
+    vectors = [(i, [rng.random() for _ in range(4)]) for i in range(0, 205)]
+    vectors += [vectors[1], vectors[1], vectors[150], vectors[100], (200, vectors[3][1]), (2, vectors[9][1])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = Counter(map(tuple, queries.op1_topk(spark, str(tmp_path)).collect()))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    out = con.execute(queries.OP1_SQL)
+    names = [d[0] for d in out.description]
+    want = Counter(tuple(r[names.index(c)] for c in ("query_id", "rank", "vec_id", "score")) for r in out.fetchall())
+    assert got == want and sum(got.values()) == 30
+    small = spark.createDataFrame([(i, [1.0 + i]) for i in (0, 1, 1, 2)], "vec_id long, embedding array<float>")
+    assert [r["vec_id"] for r in topk.top_k(small, small.where("vec_id = 0")).orderBy("rank").collect()] == [2, 1, 1]
+
+
+def test_top_k_start_prunes_nothing_that_counts():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-50, 50, (300, 6)).astype(np.float64)
+    order, ids = np.argsort(x, axis=0, kind="stable"), np.arange(300)
+    for q in rng.integers(-9, 9, (40, 6)).astype(np.float64):
+        scores = np.sort(x @ q)[::-1]
+        at, found = topk.search(q, -1, x, ids, order, 5, step=2, start=float(scores[9]))
+        assert found.tolist() == scores[:5].tolist()
+        assert len(topk.search(q, -1, x, ids, order, 5, start=float(np.abs(q).sum() * 51))[0]) == 0
+        exact = topk.search(q.astype(int).astype(object), -1, x.astype(int).astype(object), ids, order, 5, step=2)
+        assert exact[1].tolist() == scores[:5].tolist()
+
+
 def test_top_k_huge_components(spark):
     df = spark.createDataFrame([(0, [1e9, 1e9]), (1, [1e9, -1e9]), (2, [1e9, 1e9]), (3, [3e38, 3e38])], "vec_id long, embedding array<float>")
     got = [(r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()]
@@ -273,7 +305,7 @@ def test_conversations(spark):
         (6, None, "user", "lost"),
     ]
     df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string").withColumn("units", F.lit("mine")).repartition(3)
-    out = [r.asDict() for r in chat.conversations(df).collect()]
+    out = [r.asDict() for r in chat.conversations(df, least=5).collect()]
     assert Counter((r["conv_id"], r["turn"]) for r in out) == Counter((c, t) for c, t, *_ in messages if c is not None and t is not None)
     by = {(r["conv_id"], r["turn"]): r for r in out}
     reply = {k: (r["reply_conv_id"], r["reply_turn"]) for k, r in by.items()}
@@ -289,8 +321,154 @@ def test_conversations(spark):
 def test_self_quotes_link_to_another_conversation(spark):
     messages = [(1, 0, "user", "> the same words\nthe same words"), (2, 0, "user", "the same words"), (3, 0, "user", "the same words")]
     df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r["reply_conv_id"] for r in chat.conversations(df).collect()}
-    assert got == {1: 2, 2: None, 3: None}
+    got = {r["conv_id"]: (r["reply_conv_id"], r["reply_level"]) for r in chat.conversations(df, least=5).collect()}
+    assert got == {1: (2, 1), 2: (None, 0), 3: (None, 0)}
+    # too short to tell for another conversation
+    assert {r["reply_conv_id"] for r in chat.conversations(df).collect()} == {None}
+
+
+def brute_links(messages, least):
+    """What each message replies to and how many of its passages are linked, by plain loops."""
+    owns = {}
+    for c, t, _, text in messages:
+        owns.setdefault((c, t), set()).add(chat.parse(text)[0])
+
+    def has(own, passage):
+        norm = chat.normalised
+        kept = {norm(p) for p in [own, *own.split("\n"), *re.split(r"\n[ \t]*\n", own)]}
+        if norm(passage) in kept or len(norm(passage).split()) >= chat.RUN and f" {norm(passage)} " in f" {norm(own)} ":
+            return True
+        paragraphs = [[x for x in p.split("\n") if any(map(str.isalnum, x))] for p in re.split(r"\n[ \t]*\n", passage)]
+        paragraphs = [p for p in paragraphs if p]
+        return bool(paragraphs) and all(norm(" ".join(p)) in kept or all(norm(x) in kept for x in p) for p in paragraphs)
+
+    out = {}
+    for c, t, _, text in messages:
+        links = []
+        for n, (level, passage) in enumerate(chat.parse(text)[1]):
+            holders = sorted(k for k, texts in owns.items() if any(has(o, passage) for o in texts))
+            inside = [k for k in holders if k[0] == c and k[1] < t]
+            outside = [k for k in holders if k[0] != c] if len(chat.normalised(passage)) >= least else []
+            if inside or outside:
+                links.append((level, n, (inside or outside)[0]))
+        out[c, t] = (*(min(links)[2] if links else (None, None)), len(links))
+    return out
+
+
+def quoting(seed, conversations=14):
+    """Messages that quote others whole, trimmed, wrapped anew, in part of a sentence, nested, or not rightly."""
+    rng = random.Random(seed)
+    messages = []
+    for c in range(conversations):
+        for t in range(rng.randint(1, 5)):
+            own = "\n\n".join("\n".join(sentence(rng, rng.randint(3, 12)) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3)))
+            if rng.random() < 0.15:
+                own = rng.choice(["ok", "Thanks", "yes please"])
+            quote = []
+            if messages and rng.random() < 0.75:
+                source = chat.parse(rng.choice(messages)[3])[0]
+                lines, words = source.split("\n"), source.split()
+                kind = rng.choice(["whole", "lines", "part", "nested", "gap", "wrong", "wrapped"])
+                if kind == "lines":
+                    a = rng.randrange(len(lines))
+                    lines = lines[a : a + rng.randint(1, 3)]
+                elif kind == "part" and len(words) > 8:
+                    a = rng.randrange(len(words) - 6)
+                    lines = [" ".join(words[a : a + 6]).upper()]
+                elif kind == "gap":
+                    lines = [lines[0], "[...]", lines[-1]]
+                elif kind == "wrong":
+                    lines = [*lines, sentence(rng, 4)]
+                elif kind == "wrapped":
+                    lines = [" ".join(words[i : i + 5]) for i in range(0, len(words), 5)]
+                quote = [("> > " if kind == "nested" else "> ") + x for x in lines]
+            messages.append((c, t, "user", "\n".join(rng.choice([[*quote, "", own], [own, *quote]]))))
+    return messages
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_registered_conversations_equal_brute_force(spark, tmp_path, seed):
+    messages = quoting(seed) + [(90, 0, "user", "x " * 60_000 + "\n> " + "very " * 50_000)]
+    df = spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")
+    clash = {n: F.lit("mine") for n in ("own", "passages", "hash", "node", "runs", "level", "component")}
+    df.withColumns(clash).write.parquet(str(tmp_path / "conversations.parquet"))
+    out = queries.op7_quotation_linking(spark, str(tmp_path)).collect()
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv_id"], r["reply_turn"], r["n_linked"]) for r in out}
+    want = brute_links(messages, 20)
+    assert got == want and sum(v[2] for v in want.values()) > 10
+    # originals come before replies, but for rings
+    order = {(r["conv_id"], r["turn"]): (r["reply_level"], r["conv_id"], r["turn"]) for r in out}
+    edges = {(k[0], v[0]) for k, v in want.items() if v[0] is not None and v[0] != k[0]}
+    assert {k[0]: o[0] for k, o in order.items()} == levels({k[0] for k in order}, edges)
+
+
+def levels(nodes, edges):
+    of, out, level = groups(edges, nodes), {}, 0
+    while len(out) < len(nodes):
+        left = {n for n in nodes if n not in out}
+        waits = {a for a, b in edges if a in left and b in left}
+        now = left - waits
+        for c in {of[n] for n in left}:
+            here = {n for n in left if of[n] == c}
+            if not here & now:
+                now |= {min(here)}
+        out |= dict.fromkeys(now, level)
+        level += 1
+    return out
+
+
+def test_replies_come_after_what_they_answer(spark):
+    words = [sentence(random.Random(i), 8) for i in range(8)]
+    rows = [(1, 0, "user", f"> {words[2]}\n\n{words[1]}"), (2, 0, "user", words[2]), (3, 0, "user", f"> {words[1]}\n\n{words[3]}")]
+    rows += [(5, 0, "user", f"> {words[6]}\n\n{words[5]}"), (6, 0, "user", f"> {words[5]}\n\n{words[6]}"), (7, 0, "user", f"> {words[6]}\n\n{words[7]}")]  # a ring, and one more
+    out = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    in_order = [r["conv_id"] for r in out.orderBy("thread_id", "reply_level", "conv_id", "turn").collect()]
+    assert in_order == [2, 1, 3, 5, 6, 7]
+
+
+def test_long_attribution_goes_with_its_quote():
+    own, passages = chat.parse(f"Yes.\n\nOn {'a very long day ' * 40}Ann wrote:\n> so")
+    assert own == "Yes." and passages == [(1, "so")]
+
+
+def test_language_learns_every_language(spark):
+    rng = random.Random(12)
+    docs = []
+    for k in range(300):
+        letters = [chr(0x4E00 + 20 * k + i) for i in range(12)]
+        docs += [(1000 * k + i, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(6)), f"l{k:03}", "s", 1) for i in range(14)]
+    model = langid.train(frame(spark, docs), langid.Settings(rows=3000))
+    assert len(model.langs) == 300
+    names, _ = model.predict([t for _, t, *_ in docs])
+    assert sum(a == r[2] for a, r in zip(names, docs, strict=True)) / len(docs) > 0.95
+
+
+def test_language_scores_are_kernel_rows_times_weights(spark):
+    """Prediction against the plain kernel: presence sets, Nyström features and ridge regression by loops and solves."""
+    rows = [r for r in awkward() if r[1] and any(map(str.isalpha, r[1]))]
+    texts, langs = [r[1] for r in rows], ["en" if i % 3 else "fr" for i in range(len(rows))]
+    s = langid.Settings(landmarks=10, per_lang_landmarks=1)
+    model = langid.fit(texts, langs, s)
+    sets = [set(langid.grams(t, s).tolist()) for t in texts]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    names = ["en", "fr"]
+    seen, order = Counter(), []
+    for i, g in enumerate(langs):
+        order.append((seen[g], names.index(g), i))
+        seen[g] += 1
+    marks = [sets[i] for *_, i in sorted(order)[:10]]
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    keep = values > 1e-6 * values[-1]
+    half = vectors[:, keep] / np.sqrt(values[keep])
+    phi = np.array([[kernel(a, b) for b in marks] for a in sets]) @ half
+    y = np.array([[1.0 if g == n else -1.0 for n in names] for g in langs])
+    each = np.array([len(langs) / (2 * seen[g]) for g in langs])[:, None]
+    weights = np.linalg.solve(phi.T @ (each * phi) + s.ridge * np.eye(phi.shape[1]), phi.T @ (each * y))
+    want = phi @ weights
+    got_names, got = model.predict(texts)
+    assert got_names == [names[k] for k in want.argmax(axis=1)]
+    assert np.allclose(got, np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=1e-3)
 
 
 # registered queries and the pipeline
