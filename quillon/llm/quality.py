@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of the learned vectors of its words and of their character n-grams, all hashed into a fixed
-number of buckets; a softmax over two labels follows. Vectors and softmax are learned together by stochastic gradient
-descent in numpy, on a bounded sample of labelled rows. As the model is linear after averaging, each bucket adds a
-fixed amount to the log odds; a word's amount is therefore kept, and scoring a text costs one look-up a word.
+A document is the average of the learned vectors of its words, of their character n-grams and of its word 2-grams, all
+hashed into a fixed number of buckets; a softmax over two labels follows. Vectors and softmax are learned together by
+stochastic gradient descent in numpy, on a bounded sample of labelled rows. As the model is linear after averaging, each
+bucket adds a fixed amount to the log odds; a word's amount (with its n-grams) is therefore kept, and scoring a text
+costs a look-up a word and one a 2-gram.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,17 @@ from .common import documents, held, slices
 
 @dataclass(frozen=True)
 class Settings:
-    """max_train_docs bounds the labelled rows that are gathered for fitting; the rest shapes the model."""
+    """max_train_docs bounds the labelled rows that are gathered for fitting; the rest shapes the model.
 
-    max_train_docs: int = 4000
-    buckets: int = 1 << 16
+    least and most: lengths of character n-grams (no n-grams if most is less); pairs: whether word 2-grams take part.
+    """
+
+    max_train_docs: int = 8000
+    buckets: int = 1 << 17
     dim: int = 8
     least: int = 3
     most: int = 4
-    pair_weight: int = 12
+    pairs: bool = True
     epochs: int = 5
     rate: float = 0.5
     seed: int = 7
@@ -55,7 +60,7 @@ class Features:
         ids = [np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)) % np.uint32(s.buckets)]
         of = [np.arange(len(words))]
         h = np.zeros(len(raw), dtype=np.uint32)
-        for n in range(1, s.most + 1):
+        for n in range(1, s.most + 1 if s.most >= s.least else 0):
             h = h[: max(len(raw) - n + 1, 0)] * np.uint32(0x01000193) + (raw[n - 1 :] + np.uint32(1)) * np.uint32(0x9E3779B1)
             if n >= s.least:
                 fits = np.flatnonzero(room[: len(h)] >= n)
@@ -69,33 +74,72 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def repeats(tokens: list[bytes]) -> int:
-    """Word pairs of one and the same word: the one kind of word 2-gram that says more than its words."""
-    return sum(map(bytes.__eq__, tokens, tokens[1:]))
+def word_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, tokens), np.uint32, len(tokens))
+
+
+def pair_ids(first: np.ndarray, second: np.ndarray, settings: Settings) -> np.ndarray:
+    """Buckets of word 2-grams, from the difference of their words' hashes: all repetitions of a word share a bucket."""
+    h = (first - second) * np.uint32(0x9E3779B1)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return ((h ^ (h >> np.uint32(13))) % np.uint32(settings.buckets)).astype(np.int64)
+
+
+def bag(text: str | None, features: Features) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text's words, character n-grams and word 2-grams, and the share of each: a row of the average."""
+    s, tokens = features.s, words(text)
+    if not tokens:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    counts = Counter(tokens)
+    ids, of = features(list(counts))
+    amounts = np.bincount(ids, np.fromiter(counts.values(), np.float64, len(counts))[of], s.buckets)
+    if s.pairs:
+        h = word_hashes(tokens)
+        amounts += np.bincount(pair_ids(h[:-1], h[1:], s), minlength=s.buckets)
+    at = np.flatnonzero(amounts)
+    return at.astype(np.int32), (amounts[at] / amounts.sum()).astype(np.float32)
 
 
 @dataclass
 class Model:
-    """What each bucket adds to the log odds of label 1, and the constant."""
+    """What each bucket adds to the log odds of label 1, and the constant. After fit() the parts that it comes from too:
+    a vector for each bucket, the softmax's weights and bias."""
 
     settings: Settings
     odds: np.ndarray
     constant: float
+    vectors: np.ndarray | None = None
+    out: np.ndarray | None = None
+    bias: np.ndarray | None = None
 
     def scorer(self, most: int = 250_000):
         """Texts -> scores; it remembers what each word adds, and forgets all when that gets too much."""
-        features, odds, known = Features(self.settings), self.odds, {}
-        pair = complex(float(odds[self.settings.buckets]) * self.settings.pair_weight, self.settings.pair_weight)
+        s, features, odds = self.settings, Features(self.settings), self.odds
+        known: dict[bytes, int] = {}
+        amounts, numbers, hashes = np.zeros(0), np.zeros(0), np.zeros(0, np.uint32)
 
         def score(texts: list[str | None]) -> list[float]:
+            nonlocal amounts, numbers, hashes
             lists = [words(t) for t in texts]
             if len(known) > most:
                 known.clear()
+                amounts, numbers, hashes = amounts[:0], numbers[:0], hashes[:0]
             if new := list(set().union(*lists).difference(known)):
                 ids, of = features(new)
-                known.update(zip(new, (np.bincount(of, odds[ids], len(new)) + 1j * np.bincount(of, minlength=len(new))).tolist(), strict=True))
-            sums = np.array([sum(map(known.__getitem__, ws), repeats(ws) * pair) for ws in lists])
-            logit = self.constant + np.divide(sums.real, sums.imag, out=np.zeros(len(sums)), where=sums.imag > 0)
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                amounts = np.concatenate((amounts, np.bincount(of, odds[ids], len(new))))
+                numbers = np.concatenate((numbers, np.bincount(of, minlength=len(new))))
+                hashes = np.concatenate((hashes, word_hashes(new)))
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            at = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, sizes.sum())
+            of = np.repeat(np.arange(len(lists)), sizes)
+            total, n = np.bincount(of, amounts[at], len(lists)), np.bincount(of, numbers[at], len(lists))
+            if s.pairs and len(at) > 1:
+                h = hashes[at]
+                together = np.flatnonzero(of[1:] == of[:-1])
+                total += np.bincount(of[together], odds[pair_ids(h[together], h[together + 1], s)], len(lists))
+                n += np.bincount(of[together], minlength=len(lists))
+            logit = self.constant + np.divide(total, n, out=np.zeros(len(n)), where=n > 0)
             return (1 / (1 + np.exp(-np.clip(logit, -60, 60)))).tolist()
 
         return score
@@ -103,23 +147,20 @@ class Model:
 
 def fit(texts: list[str | None], labels: list[int], settings: Settings = Settings()) -> Model:
     """Learn from texts and 0/1 labels. With no rows, or with one label only, every score is that label's share."""
+    features = Features(settings)
+    return fit_bags([bag(t, features) for t in texts], labels, settings)
+
+
+def fit_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], settings: Settings) -> Model:
+    """fit() on what bag() gives."""
     s = settings
     y = np.array(labels, dtype=np.float32)
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(s, np.zeros(s.buckets + 1, np.float32), float(np.log(share / (1 - share))))
-    features, bags = Features(s), []
-    for text in texts:
-        tokens = words(text)
-        counts = Counter(tokens)
-        ids, of = features(list(counts)) if counts else (np.zeros(0, np.int64),) * 2
-        amounts = np.bincount(ids, np.fromiter(counts.values(), np.float64, len(counts))[of], s.buckets + 1)
-        amounts[s.buckets] = s.pair_weight * repeats(tokens)
-        at = np.flatnonzero(amounts)
-        bags.append((at, (amounts[at] / max(amounts.sum(), 1)).astype(np.float32)))
+        return Model(s, np.zeros(s.buckets, np.float32), float(np.log(share / (1 - share))))
     rng = np.random.default_rng(s.seed)
-    vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets + 1, s.dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     out, bias = np.zeros((s.dim, 2), np.float32), np.zeros(2, np.float32)
     share = y.mean()
     bias[:] = np.log([1 - share, share])
@@ -137,15 +178,18 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
             back = out @ p
             out -= rate * np.outer(hidden, p)
             bias -= rate * np.float32(0.05) * p
-            # averaging makes each bucket's share tiny; its step is scaled to the largest of the document
-            vectors[at] -= (rate / max(weight.max(), np.float32(1e-6))) * np.outer(weight, back)
-    return Model(s, (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+            if len(at):
+                # averaging makes each bucket's share tiny; its step is scaled to the largest of the document
+                vectors[at] -= (rate / weight.max()) * np.outer(weight, back)
+    return Model(s, (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), vectors, out, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on the max_train_docs labelled rows with the smallest hash of doc_id, none of the held-out fifth.
 
-    Labels that are null, not 0 or 1, or of no document are left out. A document with several labels counts each time.
+    Labels that are null, not 0 or 1, or of no document are left out. A document with several labels counts each time,
+    as do rows that repeat, but no more rows are gathered for that. Texts become bags where they are read: what travels
+    of a row is eight bytes for each of its buckets, of which there are settings.buckets at most.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -153,16 +197,25 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(settings.max_train_docs)
     )
-    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").toArrow()
-    order = np.lexsort((rows.column("quality").to_numpy(), rows.column("doc_id").to_numpy())) if rows.num_rows else []
-    rows = rows.take(pa.array(order, pa.int64()))
-    return fit(rows.column("text").to_pylist(), rows.column("quality").to_pylist(), settings)
+    rows = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features(settings)
+        for batch in slices(batches):
+            made = [bag(t, features) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([b[i].tobytes() for b in made], pa.binary()) for i in (0, 1))], ["doc_id", "quality", "at", "weight"])
+
+    found = rows.mapInArrow(bags, "doc_id long, quality int, at binary, weight binary")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "at", "weight").limit(settings.max_train_docs).toArrow()
+    pairs = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for a, w in zip(found["at"].to_pylist(), found["weight"].to_pylist(), strict=True)]
+    return fit_bags(pairs, found["quality"].to_pylist(), settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs and a column score; a null or empty text gets the score of no evidence. No column of docs but text counts.
 
-    An own column score is replaced. Rows that repeat are each scored; an empty table gives an empty one.
+    An own column score is replaced. Rows that repeat are each scored alike; an empty table gives an empty one; a text
+    of any length is scored whole.
     """
     docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast((model.settings, model.odds, model.constant))  # buckets x 4 bytes

@@ -166,6 +166,51 @@ def test_quality_edges(spark):
     assert a == b
 
 
+def brute_bag(text, s):
+    """Every bucket of a text with its number: words, their character n-grams, word 2-grams, one at a time."""
+    m = (1 << 32) - 1
+    out, tokens = Counter(), (text or "").encode().lower().split()
+    hashes = [xxhash.xxh32_intdigest(w) for w in tokens]
+    for w, h in zip(tokens, hashes, strict=True):
+        out[h % s.buckets] += 1
+        raw = b"<" + w + b">"
+        for n in range(s.least, s.most + 1):
+            for i in range(len(raw) - n + 1):
+                g = 0
+                for b in raw[i : i + n]:
+                    g = (g * 0x01000193 + (b + 1) * 0x9E3779B1) & m
+                out[((((g ^ g >> 15) * 0x85EBCA6B) & m) >> 7) % s.buckets] += 1
+    for a, b in zip(hashes, hashes[1:], strict=False):
+        h = ((a - b) * 0x9E3779B1) & m
+        h = ((h ^ h >> 15) * 0x85EBCA6B) & m
+        out[(h ^ h >> 13) % s.buckets] += 1
+    return out
+
+
+def test_quality_scores_are_the_forward_pass(spark, tmp_path):
+    """The registered query against averaging, softmax and rule by rule, for every document."""
+    docs, labels = labelled(150)
+    rows = [*docs, *((r[0] + 1000 if r[0] is not None else None, *r[1:]) for r in awkward() if len(r[1] or "") < 9000)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lab.write.parquet(str(tmp_path / "labels.parquet"))
+    model = quality.train(frame(spark, rows), lab)
+
+    def forward(text):
+        bag = brute_bag(text, model.settings)
+        hidden = sum((n / bag.total() * model.vectors[k].astype(np.float64) for k, n in bag.items()), np.zeros(model.settings.dim))
+        z = hidden @ model.out.astype(np.float64) + model.bias
+        e = np.exp(z - z.max())
+        return e[1] / e.sum()
+
+    want = sorted((str(i), i is not None and zlib.crc32(str(i).encode()) % 5 == 0, forward(t)) for i, t, *_ in rows)
+    got = sorted((str(r["doc_id"]), r["held_out"], r["score"], r["predicted"]) for r in queries.op4_quality(spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[3] == (g[2] >= 0.3) for g in got)
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-3)
+    # every kind of feature is a learned one
+    assert not np.array_equal(quality.train(frame(spark, rows), lab, quality.Settings(pairs=False)).odds, model.odds)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     pred = {r["doc_id"]: r for r in langid.predict(docs, langid.train(docs)).collect()}
