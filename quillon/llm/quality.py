@@ -32,7 +32,7 @@ class Settings:
     least and most: lengths of character n-grams (no n-grams if most is less); pairs: whether word 2-grams take part.
     """
 
-    max_train_docs: int = 8000
+    max_train_docs: int = 4000
     buckets: int = 1 << 17
     dim: int = 8
     least: int = 3
@@ -207,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     found = rows.mapInArrow(bags, "doc_id long, quality int, at binary, weight binary")
     found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "at", "weight").limit(settings.max_train_docs).toArrow()
-    pairs = [(np.frombuffer(a, np.int32), np.frombuffer(w, np.float32)) for a, w in zip(found["at"].to_pylist(), found["weight"].to_pylist(), strict=True)]
-    return fit_bags(pairs, found["quality"].to_pylist(), settings)
+    made = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for a, w in zip(found["at"], found["weight"], strict=True)]
+    return fit_bags(made, found["quality"].to_pylist(), settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
