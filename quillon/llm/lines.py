@@ -1,19 +1,23 @@
 """Line dedup with two Bloom filters.
 
-The first filter's bits say "seen once", the second's "seen twice": each bit is a counter that stops at two, so filters
-of different tasks add up in any order. A line key that two documents hold has all its bits in the second filter, so
-only keys that pass it are shuffled, for exact confirmation on the key itself and for the choice of the first document.
-The filters have a fixed size; when a corpus outgrows them, more keys are suspected and the result stays the same.
+A line's key goes into a filter of keys that were seen once; when its bits are all there already, it goes into a filter
+of keys that were seen twice. Keys are dealt by ranges of their hash, and each task has the two filters of its range,
+sized by the number of lines that it is to expect: they grow with the corpus, and none is sent anywhere. What travels of
+a line is its hash, a digest and where it stands. Lines that pass the filter of twice-seen keys are the suspects; only
+they are shuffled again, for exact confirmation on the digest and for the choice of the first document.
+
+A key that very many documents hold would fill one range. A task that reads documents therefore sends at most two lines
+of a key to its range: further ones are suspects already, and are dealt at random.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,12 +28,15 @@ _STRIP = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: size of each filter (a power of two, 16 MB at most to a task); probes: bits set for a key."""
+    """range_lines: about so many lines to a range; bits, probes: filter bits to a line and bits set for a key;
+    remembered: keys that a reading task knows at a time."""
 
     least: int = 10
-    bits: int = 1 << 26
+    range_lines: int = 1_000_000
+    bits: int = 16
     probes: int = 3
-    segment: int = 1 << 20
+    remembered: int = 500_000
+    broadcast: int = 200_000
 
 
 def split(text: str | None) -> list[str]:
@@ -49,78 +56,35 @@ def keys(text: str | None, least: int) -> dict[bytes, int]:
     return found
 
 
-def positions(hashes: np.ndarray, s: Settings) -> np.ndarray:
-    """A row of bit numbers for each 64-bit hash."""
-    low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
-    return ((low[:, None] + np.arange(s.probes, dtype=np.uint64) * high[:, None]) % np.uint64(s.bits)).astype(np.uint32)
+class TwiceSeen:
+    """The two filters of a range of keys."""
 
+    def __init__(self, lines: int, s: Settings):
+        self.bits, self.probes = 1 << max(6, (lines * s.bits - 1).bit_length()), s.probes
+        self.once, self.twice = np.zeros(self.bits, dtype=bool), np.zeros(self.bits, dtype=bool)
 
-def _hashes(found) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    def positions(self, hashes: np.ndarray) -> np.ndarray:
+        """A row of bit numbers for each 64-bit hash."""
+        low, high = hashes & np.uint64(0xFFFFFFFF), (hashes >> np.uint64(32)) | np.uint64(1)
+        return ((low[:, None] + np.arange(self.probes, dtype=np.uint64) * high[:, None]) & np.uint64(self.bits - 1)).astype(np.int64)
 
+    def see(self, hashes: np.ndarray, again: np.ndarray) -> np.ndarray:
+        """Whether each key was seen before, or is said to be (again); all are seen now."""
+        at = self.positions(hashes)
+        known = again | self.once[at].all(axis=1)
+        first = np.zeros(len(hashes), dtype=bool)
+        first[np.unique(hashes, return_index=True)[1]] = True
+        known |= ~first
+        self.once[at] = True
+        self.twice[at[known]] = True
+        return known
 
-def _pack(at: np.ndarray, size: int) -> bytes:
-    """Sorted bit numbers in a segment: as they are, or as bits when that is shorter."""
-    if len(at) * 32 < size:
-        return b"s" + at.astype("<u4").tobytes()
-    bits = np.zeros(size, dtype=bool)
-    bits[at] = True
-    return b"b" + np.packbits(bits).tobytes()
+    def repeated(self, hashes: np.ndarray) -> np.ndarray:
+        return self.twice[self.positions(hashes)].all(axis=1) if len(hashes) else np.zeros(0, dtype=bool)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, dtype=np.uint8)[1:]
-    return raw.view("<u4") if data[:1] == b"s" else np.flatnonzero(np.unpackbits(raw))
-
-
-_PARTS = ["segment", "once", "twice"]
-_PARTS_SCHEMA = "segment int, once binary, twice binary"
-
-
-def twice_filter(docs: DataFrame, s: Settings) -> list[tuple[int, bytes]]:
-    """The second filter, a segment a row: bits that keys of two documents (or chance) have set. docs: doc_id, text."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            at, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(at, np.arange(0, s.bits + 1, s.segment))
-            rows = []
-            for k in range(len(cut) - 1):
-                part, times = at[cut[k] : cut[k + 1]] - np.uint32(k * s.segment), n[cut[k] : cut[k + 1]]
-                if len(part):
-                    rows.append((k, _pack(part, s.segment), _pack(part[times > 1], s.segment)))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()), strict=True)], _PARTS)
-
-        for batch in slices(batches):
-            for text in batch.column(1).to_pylist():
-                if found := keys(text, s.least):
-                    held.append(positions(_hashes(found), s).ravel())
-                    size += len(held[-1])
-            if size > 8_000_000:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for k, once, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k not in sums:
-                    sums[k] = (np.zeros(s.segment, dtype=bool), np.zeros(s.segment, dtype=bool))
-                one, two = sums[k]
-                at = _unpack(once)
-                two[at] |= one[at]
-                one[at] = True
-                two[_unpack(twice)] = True
-        for k, (one, two) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(np.flatnonzero(one), s.segment)]), pa.array([_pack(np.flatnonzero(two), s.segment)])], _PARTS)
-
-    parts = docs.mapInArrow(count, _PARTS_SCHEMA).repartition("segment").mapInArrow(add, _PARTS_SCHEMA)
-    return [tuple(r) for r in parts.select("segment", "twice").toArrow().to_pandas().itertuples(index=False)]  # bits / 8 bytes at most
+_ROW = "place int, again boolean, h long, a long, b long, doc_id long, version long, line int"
+_NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
 
 def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -128,49 +92,71 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     version tells rows of one doc_id apart; documents are told apart by doc_id alone.
     """
-    session = docs.sparkSession
     own = docs.where(F.col("doc_id").isNotNull())
-    sent = session.sparkContext.broadcast(twice_filter(own.select("doc_id", "text"), s))  # bits / 8 bytes at most
+    n = own.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // s.range_lines))
+    expected = -(-n // ranges)
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        two = np.zeros(s.bits // 8, dtype=np.uint8)
-        for k, data in sent.value:
-            part = np.zeros(s.segment, dtype=bool)
-            part[_unpack(data)] = True
-            two[k * s.segment // 8 : (k + 1) * s.segment // 8] = np.packbits(part)
-        for batch in slices(batches, "text"):
-            ids, versions, lines, names = [], [], [], []
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, bool] = {}  # whether two lines of the key were sent to its range
+        turn = 0
+        for batch in slices(batches):
+            digests, refs, again, sure = [], [], [], []
             for doc, version, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if not (found := keys(text, s.least)):
-                    continue
-                at = positions(_hashes(found), s)
-                hit = ((two[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1).tolist()
-                for (name, line), h in zip(found.items(), hit, strict=True):
-                    if h:
-                        ids.append(doc)
-                        versions.append(version)
-                        lines.append(line)
-                        names.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(lines, pa.int32()), pa.array(names, pa.binary())], ["doc_id", "version", "line", "key"])
-
-    found = own.select("doc_id", "version", "text").mapInArrow(suspects, "doc_id long, version long, line int, key binary")
+                for name, line in keys(text, s.least).items():
+                    digest = hashlib.blake2b(name, digest_size=24).digest()
+                    known = seen.get(digest)
+                    digests.append(digest)
+                    refs.append((doc, version, line))
+                    again.append(known is not None)
+                    sure.append(known is True)
+                    seen[digest] = known is not None
+            if len(seen) > s.remembered:
+                seen.clear()
+            if digests:
+                h, a, b = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 3).T
+                place = (h.view(np.uint64) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                place[np.array(sure)] = (np.arange(turn, turn + sum(sure)) % ranges).astype(np.uint64)
+                turn += sum(sure)
+                columns = [place.astype(np.int32), np.array(again), h, a, b, *(np.array(c) for c in zip(*refs, strict=True))]
+                kinds = [pa.int32(), pa.bool_(), *[pa.int64()] * 5, pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
+
+    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: TwiceSeen | None = None
+        waiting: list[pa.RecordBatch] = []  # first sights, as many as there are keys
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            filters = filters or TwiceSeen(expected, s)
+            known = filters.see(batch.column(2).to_numpy().view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(known))
+            waiting.append(batch.filter(pa.array(~known)))
+        for batch in waiting:
+            yield batch.filter(pa.array(filters.repeated(batch.column(2).to_numpy().view(np.uint64))))
+
+    sent = own.select("doc_id", "version", "text").mapInArrow(read, _ROW)
+    found = checkpointed(sent.repartition(ranges, "place").mapInArrow(suspects, _ROW).select("h", "a", "b", "doc_id", "version", "line"))
+    first = found.groupBy("h", "a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "a", "b", "first")
     # written down, so that both sides of the join are dealt anew and Spark can split a key that very many documents hold
-    first = checkpointed(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"))
-    return found.join(first, "key").where("doc_id > first").select("doc_id", "version", "line")
+    return found.join(checkpointed(first), ["h", "a", "b"]).where("doc_id > first").select("doc_id", "version", "line")
 
 
 def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """docs (doc_id, text and whatever else) with n_lines, n_dropped and kept, the text of the lines that stay.
 
-    A null or empty text is one empty line. A key counts once for each doc_id, however many lines or rows hold it.
-    A row without doc_id is no document: it keeps all its lines. Rows that repeat each give a row; an empty table gives
-    an empty one. Columns of docs named n_lines, n_dropped or kept give way to the new ones.
+    A null or empty text is one empty line; a text of any length is split whole. A key counts once for each doc_id,
+    however many lines or rows hold it. A row without doc_id is no document: it keeps all its lines. Rows that repeat
+    each give a row; an empty table gives an empty one. Columns of docs named n_lines, n_dropped or kept give way to the
+    new ones; others may have any name. Keys are told apart by 192 bits of a cryptographic digest.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept")
     kept_columns, at = docs.columns, docs.columns.index("text")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    drops = repeated(packed.select("doc_id", "version", "text"), s).groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
-    joined = packed.join(drops.hint("shuffle_hash"), ["doc_id", "version"], "left").select("rest", "text", "lines")
+    drops = checkpointed(repeated(packed.select("doc_id", "version", "text"), s))
+    few = drops.count() <= s.broadcast  # then 20 bytes a line are sent to the documents, else both are shuffled
+    drops = drops.groupBy("doc_id", "version").agg(F.collect_set("line").alias("lines"))
+    joined = packed.join(F.broadcast(drops) if few else drops.hint("shuffle_hash"), ["doc_id", "version"], "left").select("rest", "text", "lines")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
