@@ -149,12 +149,13 @@ def repeated(docs: DataFrame, window: int) -> DataFrame:
 
         return run
 
-    rows = docs.mapInArrow(anchors, "h long, doc_id long, version long")
+    # the rows of a level are written down: they are looked at twice, and take long to make
+    rows = checkpointed(docs.mapInArrow(anchors, "h long, doc_id long, version long"))
     shared = rows.groupBy("h").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low <> high").select("h")
     some = _apart(rows, shared).groupBy("doc_id", "version").agg(F.collect_set("h").alias("some"))
     for level in range(1, len(chain)):
         kept = some.join(copies, ["doc_id", "version"], "left_anti")
-        rows = docs.join(kept.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "version", "text", "some").mapInArrow(extend(level), "h long, g int, doc_id long, version long")
+        rows = checkpointed(docs.join(kept.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "version", "text", "some").mapInArrow(extend(level), "h long, g int, doc_id long, version long"))
         shared = rows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
         some = _apart(rows, shared).groupBy("doc_id", "version").agg(F.collect_set("h").alias("some"))
     removed = _apart(rows, shared).where("doc_id > first").select("doc_id", "version", "h", F.lit(False).alias("whole"))
@@ -167,7 +168,7 @@ def dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     An earlier document is one with a smaller doc_id; windows are judged on the input. kept has the other words, joined
     by one space. A null or empty text has no words. Rows that share a doc_id are one document in this. Rows without
     doc_id are no documents and keep all their words. Repeated rows each give a row, an empty table gives an empty one;
-    further columns are ignored.
+    further columns, of whatever names, are ignored; texts of any length are looked at whole.
     """
     if window < 2:
         raise ValueError("a window has two words at least")
