@@ -13,13 +13,15 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, without
+from .common import checkpointed, without, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What parts words, after lower-casing: all of ASCII but digits and letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Benchmark terms or windows that one pass over the corpus looks for: what is broadcast has so many rows at most.
-BLOCK = 200_000
+#: Benchmark terms or windows are broadcast up to so many rows and bytes; beyond that they meet the corpus by a shuffle.
+BLOCK, BYTES = 200_000, 32 << 20
+#: Further words among which a proximity match may be spread.
+SLOP = 5
 
 
 def words(text: Column) -> Column:
@@ -27,8 +29,10 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), SEPARATORS), "")
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
+def prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, version, n_words, words of each row: texts are cut into words once, and written down for all passes."""
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), words(F.col("text")).alias("words"))
+    return written(cut.select("doc_id", "version", F.size("words").cast("long").alias("n_words"), "words"))
 
 
 def windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -41,29 +45,30 @@ def windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     return distinct.select("wid", "terms", F.size("terms").alias("length")), held
 
 
-def _blocks(df: DataFrame, key: str) -> list[DataFrame]:
-    """df in parts of about BLOCK rows by the hash of key, to be broadcast one a pass."""
-    parts = -(-df.count() // BLOCK)
-    return [df] if parts <= 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+def _small(df: DataFrame, size: Column) -> bool:
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= BLOCK and size <= BYTES
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _beside(df: DataFrame, size: Column) -> DataFrame:
+    """df, to be broadcast if it is small; size: bytes of a row."""
+    return F.broadcast(df) if _small(df, size) else df
 
 
 def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: how often each of the terms occurs in all documents; terms that do not occur have no row."""
-    all_words = _documents(docs).select(F.explode("words").alias("term"))
-    return _union([all_words.join(F.broadcast(part), "term").groupBy("term").agg(F.count("*").alias("df")) for part in _blocks(terms, "term")])
+    """term, df: how often each of the terms occurs in all documents; terms that do not occur have no row.
+
+    docs: of prepared()."""
+    every = docs.select(F.explode("words").alias("term"))
+    if _small(terms, F.octet_length("term")):
+        return every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
+    return every.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term")
 
 
 def keyed(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """wins with term, its rarest, and offset, that term's first place in the window (from 0)."""
     placed = wins.select("wid", F.posexplode("terms").alias("offset", "term"))
-    counts = document_counts(docs, placed.select("term").distinct())
+    counts = document_counts(docs, checkpointed(placed.select("term").distinct()))
     rarest = placed.join(counts, "term", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset")).alias("r"))
     return checkpointed(wins.join(rarest, "wid").where("r.df > 0").select("wid", "terms", "length", "r.term", "r.offset"))
 
@@ -71,43 +76,57 @@ def keyed(docs: DataFrame, wins: DataFrame) -> DataFrame:
 def index(docs: DataFrame, terms: DataFrame, reach: int) -> DataFrame:
     """The stored postings of terms: term, doc_id, version, pos (from 0), slots and at, the place of the term in slots.
 
-    slots has the words from `reach` before to `reach` after the posting, as far as the document goes.
+    slots has the words from `reach` before to `reach` after the posting, as far as the document goes. docs: of
+    prepared().
     """
-    each = _documents(docs).select("doc_id", "version", "words", F.posexplode("words").alias("pos", "term"))
+    each = docs.select("doc_id", "version", "words", F.posexplode("words").alias("pos", "term"))
     first = F.greatest(F.col("pos") - reach, F.lit(0))
-    found = [each.join(F.broadcast(part), "term").select("term", "doc_id", "version", "pos", F.slice("words", first + 1, F.lit(2 * reach + 1)).alias("slots"), (F.col("pos") - first).alias("at")) for part in _blocks(terms, "term")]
-    return checkpointed(_union(found))
+    if _small(terms, F.octet_length("term")):
+        found = each.join(F.broadcast(terms), "term").select("term", "doc_id", "version", "pos", F.slice("words", first + 1, F.lit(2 * reach + 1)).alias("slots"), (F.col("pos") - first).alias("at"))
+    else:  # the words around a posting are cut out before it travels
+        found = each.select("term", "doc_id", "version", "pos", F.slice("words", first + 1, F.lit(2 * reach + 1)).alias("slots"), (F.col("pos") - first).alias("at")).join(terms, "term")
+    return checkpointed(found)
 
 
 def matches(docs: DataFrame, wins: DataFrame, window: int, slop: int | None = None) -> DataFrame:
-    """doc_id, version, wid, start, length, kind: where windows occur.
+    """doc_id, version, wid, start, length, kind: where windows occur. docs: of prepared().
 
-    kind is phrase, or with a slop proximity: every term of the window lies within window - 1 + slop words of the
-    rarest one, in any order, and the phrase is not there; start is then the place of the rarest term.
+    kind is phrase, or with a slop proximity: length + slop words in a row hold every term of the window, in any order,
+    and the phrase is not there; start is then the place of the rarest term.
     """
-    reach = window - 1 + (slop or 0)
     by = keyed(docs, wins)
-    postings = index(docs, by.select("term").distinct(), reach)
+    postings = index(docs, checkpointed(by.select("term").distinct()), window - 1 + (slop or 0))
     begin = F.col("at") - F.col("offset")
     phrase = (begin >= 0) & (F.slice("slots", F.greatest(begin, F.lit(0)) + 1, F.col("length")) == F.col("terms"))
-    near = F.size(F.array_except("terms", "slots")) == 0
-    wanted = phrase if slop is None else phrase | near
-    kind = F.when(phrase, "phrase").otherwise("proximity")
+    wanted = phrase
+    if slop is not None:
+        # a span of that many words holds the rarest term, so it lies within the slots of one of its postings
+        span = F.col("length") + slop
+        starts = F.sequence(F.lit(1), F.greatest(F.size("slots") - span + 1, F.lit(1)))
+        near = F.exists(starts, lambda i: F.size(F.array_except("terms", F.slice("slots", i, span))) == 0)
+        wanted = phrase | F.when(F.size(F.array_except("terms", "slots")) == 0, near).otherwise(False)
     start = F.when(phrase, F.col("pos") - F.col("offset")).otherwise(F.col("pos"))
-    found = [postings.withColumnRenamed("term", "posting").join(F.broadcast(part), (F.col("posting") == F.col("term")) & wanted).select("doc_id", "version", "wid", start.alias("start"), "length", kind.alias("kind")) for part in _blocks(by, "wid")]
-    return _union(found)
-
-
-def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as text, comma-joined), contaminated, version of each document.
-
-    n_hit counts the words inside any occurrence of a window; an item of fewer words, but not none, is one window. Null
-    texts have no words and are not contaminated, as are all documents if there are no items; items without words are
-    ignored, items that repeat a text are all named. Rows that share doc_id and text have the same counts, each in its
-    own row; a null doc_id is a value like any other; an empty table gives an empty one; further columns are ignored.
+    size = F.octet_length(F.array_join("terms", " ")) + 100
+    on = (F.col("posting") == F.col("term")) & wanted
+    return postings.withColumnRenamed("term", "posting").join(_beside(by, size), on).select("doc_id", "version", "wid", start.alias("start"), "length", F.when(phrase, "phrase").otherwise("proximity").alias("kind"))
+
+
+def report(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted as text, comma-joined), contaminated, version, n_near of each
+    document.
+
+    n_hit counts the words inside any occurrence of a window; an item of fewer words, but not none, is one window.
+    n_near counts the items of which no window occurs, but the words of one stand close together: window + slop words in
+    a row hold all of them, in any order. Null texts have no words and are not contaminated, as are all documents if
+    there are no items; items without words are ignored, items that repeat a text are all named, an item whose item_id
+    is null is counted but has no name. Rows that share doc_id and text have the same counts, each in its own row; a
+    null doc_id is a value like any other; an empty table gives an empty one; further columns, of whatever names, are
+    ignored; texts of any length are looked at whole.
     """
+    rows = prepared(docs)
     wins, held = windows(items, window)
-    hits = checkpointed(matches(docs, wins, window).select("doc_id", "version", "wid", "start", "length").distinct())
+    hits = checkpointed(matches(rows, wins, window, slop).distinct())
+    phrases = hits.where("kind = 'phrase'")
     span = F.struct(F.col("start").alias("a"), (F.col("start") + F.col("length")).alias("b"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -116,19 +135,24 @@ def report(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
         lambda t, s: F.struct(F.greatest(t["end"], s["b"]).alias("end"), (t["n"] + F.greatest(s["b"] - F.greatest(s["a"], t["end"]), F.lit(0))).alias("n")),
         lambda t: t["n"],
     )
-    by_doc = hits.groupBy("doc_id", "version").agg(covered.alias("n_hit"))
-    occurs = hits.select("doc_id", "version", "wid").distinct()
-    named = _union([occurs.join(F.broadcast(part), "wid").select("doc_id", "version", F.col("item_id").cast("string").alias("item")) for part in _blocks(held, "wid")])
-    by_item = named.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    found = by_doc.join(by_item, by_doc["doc_id"].eqNullSafe(by_item["doc_id"]) & (by_doc["version"] == by_item["version"])).select(by_doc["doc_id"].alias("d"), by_doc["version"].alias("v"), "n_hit", "items")
-    rows = _documents(docs).select("doc_id", "version", F.size("words").cast("long").alias("n_words"))
+    by_doc = phrases.groupBy("doc_id", "version").agg(covered.alias("n_hit"))
+    # an item's windows in a document: whether one occurs, or one is close
+    item = F.col("item_id").cast("string")
+    named = hits.select("doc_id", "version", "wid", "kind").distinct().join(_beside(held, F.coalesce(F.octet_length(item), F.lit(0)) + 30), "wid")
+    per_item = named.groupBy("doc_id", "version", item.alias("item")).agg(F.max(F.col("kind") == "phrase").alias("occurs"))
+    names = F.collect_list(F.when(F.col("occurs"), F.col("item")))
+    by_item = per_item.groupBy("doc_id", "version").agg(F.sort_array(names).alias("items"), F.count(F.when(F.col("occurs"), 1)).alias("n_items"), F.count(F.when(~F.col("occurs"), 1)).alias("n_near"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
+    found = by_item.join(by_doc, same(by_item, by_doc), "left").select(by_item["doc_id"].alias("d"), by_item["version"].alias("v"), "n_hit", "items", "n_items", "n_near")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["version"] == found["v"]), "left").select("doc_id", "version", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.concat_ws(",", "items"), F.lit("")).alias("items"), (n_hit > 0).alias("contaminated"))
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = rows.select("doc_id", "version", "n_words").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
+    return out.select("doc_id", "version", "n_words", n_hit.alias("n_hit"), count("n_items"), F.coalesce(F.concat_ws(",", "items"), F.lit("")).alias("items"), (n_hit > 0).alias("contaminated"), count("n_near"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs (all columns) without a window of any item; nulls and empty tables as in report()."""
     wins, _ = windows(items, window)
     version = f"version_{uuid.uuid4().hex}"  # no column of docs has this name
-    hits = matches(docs, wins, window).select("doc_id", F.col("version").alias(version))
+    hits = matches(prepared(docs), wins, window).select("doc_id", F.col("version").alias(version))
     return without(docs.withColumn(version, F.xxhash64("text")), hits).drop(version)

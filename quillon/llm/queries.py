@@ -70,7 +70,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every whole text that lie in a ten-word window of a benchmark item."""
     out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.col("items").cast("binary"), 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def tokenizer(path: str, pattern: str):
@@ -134,8 +134,17 @@ hit AS (SELECT d.doc_id, d.i, d.n, b.item_id FROM dwin d JOIN win b ON d.t = b.t
 wordhit AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)),
 nh AS (SELECT doc_id, count(*) AS n_hit FROM wordhit GROUP BY doc_id),
 ni AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
-SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)
+wid AS (SELECT row_number() OVER () AS wid, t, n, list_distinct(string_split(t, ' ')) AS ts FROM (SELECT DISTINCT t, n FROM win)),
+term AS (SELECT wid, n, len(ts) AS k, unnest(ts) AS term FROM wid),
+pos AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM dw),
+cand AS (SELECT doc_id, wid, n, k FROM (SELECT DISTINCT doc_id, term FROM pos) JOIN term USING (term) GROUP BY ALL HAVING count(*) = k),
+post AS (SELECT cand.doc_id, wid, n, k, term, p FROM cand JOIN term USING (wid, n, k) JOIN pos USING (doc_id, term)),
+near AS (SELECT doc_id, wid FROM (SELECT a.doc_id, a.wid, a.p FROM post a JOIN post b ON a.doc_id = b.doc_id AND a.wid = b.wid AND b.p BETWEEN a.p AND a.p + a.n + 4
+  GROUP BY a.doc_id, a.wid, a.p, a.k HAVING count(DISTINCT b.term) = a.k) GROUP BY ALL),
+nn AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, item_id FROM near JOIN wid USING (wid) JOIN win USING (t, n)) x
+  WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = x.doc_id AND hit.item_id IS NOT DISTINCT FROM x.item_id) GROUP BY doc_id)
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 

@@ -112,13 +112,20 @@ def brute_lines(rows, least=10):
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 26, 64])  # with 64 bits everything is suspected, and the result is the same
-def test_line_dedup(spark, bits):
-    s = lines.Settings(bits=bits, segment=min(bits, 1 << 20))
-    out = lines.dedup(frame(spark), s).select("doc_id", "n_lines", "n_dropped", "kept")
+@pytest.mark.parametrize("settings", [lines.Settings(), lines.Settings(bits=1, probes=1, range_lines=7), lines.Settings(remembered=2, broadcast=0)])
+def test_line_dedup(spark, settings):
+    """With few bits many are suspected, with a short memory hot keys go to their range more often: the result stays."""
+    out = lines.dedup(frame(spark), settings).select("doc_id", "n_lines", "n_dropped", "kept")
     assert Counter(map(tuple, out.collect())) == brute_lines(awkward())
 
 
+def test_line_dedup_hot_line(spark):
+    """Of a line that all documents hold, two rows a reading task at most go to its range."""
+    docs = [(i, f"a line that everybody has\n{i} is a line of its own", "en", "s", 1) for i in range(2000)]
+    out = lines.dedup(frame(spark, docs, parts=3)).select("doc_id", "n_lines", "n_dropped", "kept")
+    assert Counter(map(tuple, out.collect())) == brute_lines(docs)
+
+
 def test_line_dedup_edges(spark):
     odd = lines.dedup(clashing(spark, awkward(), "kept", "lines", "version", "rest", "key"))
     assert odd.columns == ["doc_id", "text", "lang", "source", "n_chars", "lines", "version", "rest", "key", "n_lines", "n_dropped", "kept"]
@@ -128,16 +135,21 @@ def test_line_dedup_edges(spark):
     assert [tuple(r) for r in lines.dedup(frame(spark, [(1, None, None, None, None)])).select("n_lines", "n_dropped", "kept").collect()] == [(1, 0, "")]
 
 
-def test_twice_filter_has_no_false_negatives(spark):
-    s = lines.Settings(bits=1 << 12, segment=1 << 8)
-    found = dict(lines.twice_filter(frame(spark, parts=5).select("doc_id", "text"), s))
-    bits = np.zeros(s.bits, dtype=bool)
-    for k, data in found.items():
-        bits[k * s.segment + lines._unpack(bytes(data))] = True
-    every = Counter(k for _, t, *_ in awkward() for k in lines.keys(t, 10))
-    for k, n in every.items():
-        if n > 1:
-            assert bits[lines.positions(lines._hashes([k]), s)].all()
+def test_twice_filter_has_no_false_negatives():
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    stream = rng.permutation(np.concatenate((hashes, hashes[:800], hashes[:50])))
+    for lines_, least in ((3000, 2100), (10, 0)):
+        filters, first, suspects = lines.TwiceSeen(lines_, lines.Settings()), [], []
+        for i in range(0, len(stream), 500):
+            part = stream[i : i + 500]
+            known = filters.see(part, np.zeros(len(part), dtype=bool))
+            suspects += part[known].tolist()
+            first += part[~known].tolist()
+        suspects += np.array(first, np.uint64)[filters.repeated(np.array(first, np.uint64))].tolist()
+        found, every = Counter(suspects), Counter(stream.tolist())
+        assert all(found[h] == n for h, n in every.items() if n > 1)
+        assert sum(h not in found for h in every) >= least  # a filter of the right size lets most others through
 
 
 # substring dedup
@@ -201,10 +213,26 @@ def brute_hits(rows, items, window):
                     over[k : k + n] = [True] * n
                     found |= wins[x]
         names = sorted(str(x) for x in found if x is not None)
-        out[i, len(w), sum(over), len(names), ",".join(names), any(over)] += 1
+        out[i, len(w), sum(over), len(found), ",".join(names), any(over)] += 1
     return out
 
 
+def brute_near(text, items, window, slop):
+    """Items without a window in the text, but with one whose words stand close together."""
+    w, wins = _words(text), defaultdict(set)
+    for item, t in items:
+        x = _words(t)
+        for k in range(max(1, len(x) - window + 1) if x else 0):
+            wins[tuple(x[k : k + window])].add(item)
+    near, hit = set(), set()
+    for x, holders in wins.items():
+        if any(tuple(w[k : k + len(x)]) == x for k in range(len(w) - len(x) + 1)):
+            hit |= holders
+        elif any(set(x) <= set(w[k : k + len(x) + slop]) for k in range(max(1, len(w) - len(x) - slop + 1))):
+            near |= holders
+    return len(near - hit)
+
+
 def _items(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string").withColumn("terms", F.lit("mine"))
 
@@ -231,13 +259,26 @@ def test_decontamination_clean_and_empty(spark):
 
 
 def test_proximity_matches(spark):
-    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "the brown and very quick fox"), (3, "quick the fox"), (4, "brown " + "filler " * 30 + "quick fox")], "doc_id long, text string")
+    docs = decontaminate.prepared(spark.createDataFrame([(1, "the quick brown fox"), (2, "the brown and very quick fox"), (3, "quick the fox"), (4, "brown " + "filler " * 30 + "quick fox")], "doc_id long, text string"))
     wins, _ = decontaminate.windows(_items(spark, [(1, "quick brown fox")]), 3)
     got = {(r["doc_id"], r["kind"]) for r in decontaminate.matches(docs, wins, 3, slop=4).collect()}
     assert got == {(1, "phrase"), (2, "proximity")}
     assert {(r["doc_id"], r["start"]) for r in decontaminate.matches(docs, wins, 3).collect()} == {(1, 1)}
 
 
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_near_items_equal_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(14)]
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9)))) for i in range(12)] + [(None, "w1 w2 w3 w4"), (3, "w9 w8 w7 w6 w5")]
+    out = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), _items(spark, items), 5, 3)
+    got = {r["doc_id"]: r["n_near"] for r in out.collect()}
+    want = {i: brute_near(t, items, 5, 3) for i, t in docs}
+    assert got == want and sum(want.values()) > 30
+
+
 def test_decontamination_plan_has_no_python(spark):
     plan = decontaminate.report(frame(spark), _items(spark, ITEMS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
