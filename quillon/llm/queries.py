@@ -133,7 +133,7 @@ dwin AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS t
 hit AS (SELECT d.doc_id, d.i, d.n, b.item_id FROM dwin d JOIN win b ON d.t = b.t AND d.n = b.n),
 wordhit AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)),
 nh AS (SELECT doc_id, count(*) AS n_hit FROM wordhit GROUP BY doc_id),
-ni AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id)
+ni AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY doc_id),
 wid AS (SELECT row_number() OVER () AS wid, t, n, list_distinct(string_split(t, ' ')) AS ts FROM (SELECT DISTINCT t, n FROM win)),
 term AS (SELECT wid, n, len(ts) AS k, unnest(ts) AS term FROM wid),
 pos AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM dw),
