@@ -112,7 +112,7 @@ def brute_lines(rows, least=10):
     return out
 
 
-@pytest.mark.parametrize("settings", [lines.Settings(), lines.Settings(bits=1, probes=1, range_lines=7), lines.Settings(remembered=2, broadcast=0)])
+@pytest.mark.parametrize("settings", [lines.Settings(), lines.Settings(bits=1, probes=1, range_lines=7), lines.Settings(remembered=2)])
 def test_line_dedup(spark, settings):
     """With few bits many are suspected, with a short memory hot keys go to their range more often: the result stays."""
     out = lines.dedup(frame(spark), settings).select("doc_id", "n_lines", "n_dropped", "kept")
