@@ -149,13 +149,14 @@ def repeated(docs: DataFrame, window: int) -> DataFrame:
 
         return run
 
-    # the rows of a level are written down: they are looked at twice, and take long to make
+    # written down, as they are looked at twice and take long to make; the later levels, of fewer texts, are made twice
+    # rather, because their shuffle of the texts then serves every level and the end
     rows = checkpointed(docs.mapInArrow(anchors, "h long, doc_id long, version long"))
     shared = rows.groupBy("h").agg(F.min("version").alias("low"), F.max("version").alias("high")).where("low <> high").select("h")
     some = _apart(rows, shared).groupBy("doc_id", "version").agg(F.collect_set("h").alias("some"))
     for level in range(1, len(chain)):
         kept = some.join(copies, ["doc_id", "version"], "left_anti")
-        rows = checkpointed(docs.join(kept.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "version", "text", "some").mapInArrow(extend(level), "h long, g int, doc_id long, version long"))
+        rows = docs.join(kept.hint("shuffle_hash"), ["doc_id", "version"]).select("doc_id", "version", "text", "some").mapInArrow(extend(level), "h long, g int, doc_id long, version long")
         shared = rows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "g", "first")
         some = _apart(rows, shared).groupBy("doc_id", "version").agg(F.collect_set("h").alias("some"))
     removed = _apart(rows, shared).where("doc_id > first").select("doc_id", "version", "h", F.lit(False).alias("whole"))
