@@ -5,6 +5,10 @@ codes of length 23, whose covering radius is 3 each, so every fingerprint has on
 fingerprint that differs in at most d bits lies within the radius plus its own differing bits of that anchor; it is
 replicated to every anchor for which the excesses over the radii add up to at most d. Fingerprints are compared at the
 home anchor of one of the two, on all 64 bits. Equal fingerprints are one row throughout.
+
+A few differing bits mean nearly equal texts. Texts that share four fifths of their shingles differ in about ten bits of
+64, and up to twenty, which no covering reaches at a bearable replication. similar() serves these: candidates agree in
+one of many bands of minimum hashes, and are checked on their whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, documents, slices, without
@@ -27,23 +31,25 @@ GOLAY = 0b101011100011
 LENGTH, RADIUS, CHECKS = 23, 3, 11
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bit by bit the majority of the hashes of all shingles of words; 0 without a word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hashes of all shingles of words, repeats included; a text of fewer words is one shingle."""
     words = text.encode().lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
         grams = [b" ".join(words)]
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    ones, n = np.zeros(64, dtype=np.int64), 0
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Bit by bit the majority of the hashes of all shingles of words; 0 without a word."""
+    ones, hashes = np.zeros(64, dtype=np.int64), shingle_hashes(text, shingle)
     for i in range(0, len(hashes), 1 << 13):
-        part = hashes[i : i + (1 << 13)]
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashes[i : i + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint16)
-        n += len(part)
-    return sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist())
+    return sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -130,8 +136,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     """doc_id, fp long, component_id: documents linked by chains of fingerprints at most `distance` bits apart.
 
     component_id is the smallest doc_id reachable. Texts without a word (null, empty) all have fingerprint 0 and are
-    linked like others. Rows that repeat each give a row; rows without doc_id are left out, since nothing names them;
-    an empty table gives an empty one; further columns are ignored.
+    linked like others; a text of any length is taken whole. Rows that repeat each give a row; rows without doc_id are
+    left out, since nothing names them; an empty table gives an empty one; further columns, of whatever names, are
+    ignored.
     """
     rows = checkpointed(fingerprints(docs.where(F.col("doc_id").isNotNull()), shingle))
     least = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -145,9 +152,121 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+#: Bands of minimum hashes: two sets of similarity j meet in one with probability 1 - (1 - j^WIDTH)^BANDS, 0.99994 at 0.8.
+BANDS, WIDTH = 32, 6
+
+
+@cache
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(11)
+    n = BANDS * WIDTH
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """For each band the hash of its minimum hashes, as a signed long; none for an empty set."""
+    if not len(hashes):
+        return []
+    multiply, add = _permutations()
+    low = np.full(len(multiply), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        h = hashes[i : i + 1024, None] * multiply
+        h ^= h >> np.uint64(32)
+        low = np.minimum(low, (h * add).min(axis=0))
+    rows = low.reshape(BANDS, WIDTH)
+    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], dtype=np.uint64).view(np.int64).tolist()
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, a, b (a digest of the set of shingles), n (its size), bands of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in made]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1)), pa.array(map(len, made), pa.int32()), pa.array(map(bands, made), pa.list_(pa.int64()))], ["doc_id", "a", "b", "n", "bands"])
+
+    return docs.mapInArrow(run, "doc_id long, a long, b long, n int, bands array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose sets have that similarity. sets: rep, set (sorted hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "left"):
+            good = []
+            for one, other in zip(batch.column(2), batch.column(3), strict=True):
+                u, v = (np.frombuffer(c.as_buffer(), np.uint64) for c in (one, other))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                good.append(both >= similarity * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = (sets.select(F.col("rep").alias(c), F.col("set").alias(n)) for c, n in (("x", "left"), ("y", "right")))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right").mapInArrow(run, "x long, y long")
+
+
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id: documents linked by chains of texts whose sets of shingles have that Jaccard similarity.
+
+    component_id is the smallest doc_id reachable. Equal sets count once: they are the copies of their smallest doc_id.
+    The others meet in bands. Within a band's group not all pairs are tried: its first member is compared with all; those
+    that are then in no component with it are compared with all in their turn, one of a group first, then two, four and
+    so on, until all are in one component or have been compared. So a large group of near copies costs a few comparisons
+    a member, and no link is lost. Texts without a word (null, empty) are equal; texts of any length are taken whole;
+    rows that repeat each give a row; rows without doc_id are left out; an empty table gives an empty one; further
+    columns, of whatever names, are ignored.
+    """
+    own = documents(docs).where("doc_id IS NOT NULL")
+    rows = checkpointed(_sets(own, shingle))
+    least = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    banded = least.select("rep", "n", F.posexplode("bands").alias("band", "h"))
+    crowds = banded.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1").select("band", "h")
+    members = checkpointed(banded.join(crowds, ["band", "h"]).withColumn("done", F.lit(False)))
+    wanted = checkpointed(members.select(F.col("rep").alias("doc_id")).distinct())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "set"])
+
+    sets = checkpointed(own.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(cut, "rep long, set binary").dropDuplicates())
+    of, found, tried, hubs = None, None, None, 1
+    while True:
+        now = members.withColumn("c", F.col("rep")) if of is None else members.join(of, members["rep"] == of["node"], "left").select("band", "h", "rep", "n", "done", F.coalesce("component", "rep").alias("c"))
+        now = checkpointed(now)
+        main = now.groupBy("band", "h").agg(F.min(F.struct("rep", "c")).alias("main"))
+        if of is None:
+            turn = now.join(main, ["band", "h"]).where("rep = main.rep").select("band", "h", "rep", "n", "c")
+        else:
+            rank = F.row_number().over(Window.partitionBy("band", "h").orderBy("rep"))
+            turn = now.join(main, ["band", "h"]).where("c <> main.c AND NOT done").withColumn("rank", rank).where(F.col("rank") <= hubs).select("band", "h", "rep", "n", "c")
+        turn = checkpointed(turn)
+        if turn.isEmpty():
+            break
+        hub = turn.select("band", "h", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
+        fits = (F.col("hub_c") != F.col("c")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n"))
+        pairs = now.join(hub, ["band", "h"]).where(fits).select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = checkpointed(_alike(pairs, sets, similarity))
+        found = links if found is None else checkpointed(found.unionByName(links))
+        of = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        # groups in which somebody waits; those who had their turn are done
+        had = turn.select("band", "h", "rep").withColumn("had", F.lit(True))
+        members = now.join(turn.select("band", "h").distinct(), ["band", "h"], "left_semi").join(had, ["band", "h", "rep"], "left").select("band", "h", "rep", "n", (F.col("done") | F.coalesce("had", F.lit(False))).alias("done"))
+        hubs *= 2
+    named = least.select("a", "b", "rep")
+    if of is not None:
+        named = named.join(of, named["rep"] == of["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("rep"))
+    return rows.select("doc_id", "a", "b").join(checkpointed(named), ["a", "b"]).select("doc_id", F.col("rep").alias("component_id"))
+
+
+def dedup(docs: DataFrame, shingle: int = 3, distance: int = 2, similarity: float | None = None) -> DataFrame:
     """The rows of docs (all columns) but for the near copies of a document with a smaller doc_id.
 
-    Rows that share a doc_id are one document; rows without one are no copies of anything and stay.
+    Near copies have fingerprints at most `distance` bits apart, or with a similarity sets of shingles that are so
+    similar. Rows that share a doc_id are one document; rows without one are no copies of anything and stay. Nulls,
+    empty and long texts, ties, repeated rows and empty tables are as in near_duplicates() and similar().
     """
-    return without(docs, near_duplicates(docs, shingle, distance).where("component_id < doc_id").select("doc_id"))
+    found = near_duplicates(docs, shingle, distance) if similarity is None else similar(docs, shingle, similarity)
+    return without(docs, found.where("component_id < doc_id").select("doc_id"))

@@ -119,6 +119,64 @@ def test_near_duplicates(spark, shingle):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in awkward() if r[0] is None or want[r[0]] == r[0])
 
 
+def brute_similar(rows, shingle, similarity):
+    """doc_id -> smallest doc_id linked, by comparing all pairs of sets."""
+    sets = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            w = (t or "").encode().lower().split()
+            sets[i] = {tuple(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))} if w else set()
+    ids = sorted(sets)
+    edges = []
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or len(x & y) >= similarity * len(x | y):
+                edges.append((a, b))
+    return groups(edges, ids)
+
+
+def near_copies(seed, n=220):
+    """Documents with a few words changed, in chains, in one large group, and with a passage that all share."""
+    rng = random.Random(seed)
+    shared, base = sentence(rng, 45), sentence(rng, 150).split()
+    rows = []
+    for i in range(n):
+        kind = i % 4
+        if kind == 0:
+            w = list(base)  # the large group: each copy has words of its own, so that not all pairs are alike
+            for k in rng.sample(range(len(w)), rng.randint(0, 3)):
+                w[k] = f"x{i}y{k}"
+        elif kind == 1 and rows:
+            w = rng.choice(rows)[1].split()  # a chain
+            if w:
+                w[rng.randrange(len(w))] = f"z{i}"
+        else:
+            w = (sentence(rng, rng.randint(10, 60)) + " " + shared).split()
+        rows.append((i + 100, " ".join(w), "en", "s", 1))
+    rows += [(1000, None, "en", "s", 1), (1001, " ", "en", "s", 1), (1002, "one two", "en", "s", 1), (1003, "ONE two", "en", "s", 1), (5, rows[0][1], "en", "s", 1), (None, rows[0][1], "en", "s", 1), rows[3], rows[3]]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_equals_brute_force(spark, seed):
+    rows = near_copies(seed)
+    want = brute_similar(rows, 5, 0.8)
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar(clashing(spark, rows, "rep", "band", "h", "set", "a"), 5, 0.8).collect())
+    assert got == Counter((r[0], want[r[0]]) for r in rows if r[0] is not None)
+    assert len(set(want.values())) < len(want) - 50
+    kept = simhash.dedup(frame(spark, rows), 5, similarity=0.8)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r[0] for r in rows if r[0] is None or want[r[0]] == r[0])
+    assert simhash.similar(frame(spark, [])).count() == 0
+
+
+def test_similar_on_awkward_rows(spark):
+    want = brute_similar(awkward(), 5, 0.8)
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.similar(frame(spark)).collect())
+    assert got == Counter((r[0], want[r[0]]) for r in awkward() if r[0] is not None)
+
+
 # classifiers
 
 
@@ -533,8 +591,7 @@ def brute_pipeline(spark, rows, labels, items):
     for r in rows:
         text = next(t for (i, _, _, t), _ in brute_lines_of(rows, r).items())
         kept.append((r[0], text, r[2], r[3], len(text)))
-    named = {r[0]: brute_fingerprint(r[1], 3) for r in kept if r[0] is not None}
-    of = groups([(a, b) for a in named for b in named if a < b and (named[a] ^ named[b]).bit_count() <= 2], named)
+    of = brute_similar(kept, 5, 0.8)
     kept = [r for r in kept if r[0] is None or of[r[0]] == r[0]]
     clean = [r for r in kept if not any(x[5] for x in brute_hits([r], items, 10))]
     return Counter((r[0], r[2], r[3], r[4], tuple(ENCODING.encode_ordinary(r[1]))) for r in clean)
