@@ -10,6 +10,7 @@ costs a look-up a word and one a 2-gram.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,9 +88,15 @@ def pair_ids(first: np.ndarray, second: np.ndarray, settings: Settings) -> np.nd
 
 def bag(text: str | None, features: Features) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text's words, character n-grams and word 2-grams, and the share of each: a row of the average."""
+    at, amounts = counted(text, features)
+    return at, (amounts / max(amounts.sum(), 1)).astype(np.float32)
+
+
+def counted(text: str | None, features: Features) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text in order, and how often each occurs."""
     s, tokens = features.s, words(text)
     if not tokens:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     counts = Counter(tokens)
     ids, of = features(list(counts))
     amounts = np.bincount(ids, np.fromiter(counts.values(), np.float64, len(counts))[of], s.buckets)
@@ -97,7 +104,19 @@ def bag(text: str | None, features: Features) -> tuple[np.ndarray, np.ndarray]:
         h = word_hashes(tokens)
         amounts += np.bincount(pair_ids(h[:-1], h[1:], s), minlength=s.buckets)
     at = np.flatnonzero(amounts)
-    return at.astype(np.int32), (amounts[at] / amounts.sum()).astype(np.float32)
+    return at.astype(np.int32), amounts[at].astype(np.int32)
+
+
+def packed(text: str | None, features: Features) -> bytes:
+    """counted() in few bytes: the steps between buckets are small, and most occur once."""
+    at, amounts = counted(text, features)
+    return zlib.compress(np.concatenate((np.diff(at, prepend=0).astype("<i4"), amounts.astype("<i4"))).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """bag() from packed()."""
+    steps, amounts = np.frombuffer(zlib.decompress(data), "<i4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), (amounts / max(amounts.sum(), 1)).astype(np.float32)
 
 
 @dataclass
@@ -189,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     Labels that are null, not 0 or 1, or of no document are left out. A document with several labels counts each time,
     as do rows that repeat, but no more rows are gathered for that. Texts become bags where they are read: what travels
-    of a row is eight bytes for each of its buckets, of which there are settings.buckets at most.
+    of a row is a few bytes for each of its buckets, of which there are settings.buckets at most.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -202,13 +221,11 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(settings)
         for batch in slices(batches):
-            made = [bag(t, features) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([b[i].tobytes() for b in made], pa.binary()) for i in (0, 1))], ["doc_id", "quality", "at", "weight"])
+            made = [packed(t, features) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.binary())], ["doc_id", "quality", "bag"])
 
-    found = rows.mapInArrow(bags, "doc_id long, quality int, at binary, weight binary")
-    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "at", "weight").limit(settings.max_train_docs).toArrow()
-    made = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(w.as_buffer(), np.float32)) for a, w in zip(found["at"], found["weight"], strict=True)]
-    return fit_bags(made, found["quality"].to_pylist(), settings)
+    found = rows.mapInArrow(bags, "doc_id long, quality int, bag binary").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "bag").limit(settings.max_train_docs).toArrow()
+    return fit_bags([unpacked(b.as_buffer()) for b in found["bag"]], found["quality"].to_pylist(), settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
