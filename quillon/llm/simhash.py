@@ -210,7 +210,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
 
     component_id is the smallest doc_id reachable. Equal sets count once: they are the copies of their smallest doc_id.
     The others meet in bands. Within a band's group not all pairs are tried: its first member is compared with all; those
-    that are then in no component with it are compared with all in their turn, one of a group first, then two, four and
+    that are then in no component with it are compared with all in their turn, one of a group first, then eight, 64 and
     so on, until all are in one component or have been compared. So a large group of near copies costs a few comparisons
     a member, and no link is lost. Texts without a word (null, empty) are equal; texts of any length are taken whole;
     rows that repeat each give a row; rows without doc_id are left out; an empty table gives an empty one; further
@@ -254,7 +254,7 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         # groups in which somebody waits; those who had their turn are done
         had = turn.select("band", "h", "rep").withColumn("had", F.lit(True))
         members = now.join(turn.select("band", "h").distinct(), ["band", "h"], "left_semi").join(had, ["band", "h", "rep"], "left").select("band", "h", "rep", "n", (F.col("done") | F.coalesce("had", F.lit(False))).alias("done"))
-        hubs *= 2
+        hubs *= 8
     named = least.select("a", "b", "rep")
     if of is not None:
         named = named.join(of, named["rep"] == of["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("rep"))
