@@ -8,7 +8,7 @@ home anchor of one of the two, on all 64 bits. Equal fingerprints are one row th
 
 A few differing bits mean nearly equal texts. Texts that share four fifths of their shingles differ in about ten bits of
 64, and up to twenty, which no covering reaches at a bearable replication. similar() serves these: candidates agree in
-one of many bands of minimum hashes, and are checked on their whole sets of shingles.
+one of many bands of minimum hashes and in a rare shingle, and are checked on their whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -209,8 +209,11 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     """doc_id, component_id: documents linked by chains of texts whose sets of shingles have that Jaccard similarity.
 
     component_id is the smallest doc_id reachable. Equal sets count once: they are the copies of their smallest doc_id.
-    The others meet in bands. Within a band's group not all pairs are tried: its first member is compared with all; those
-    that are then in no component with it are compared with all in their turn, one of a group first, then eight, 64 and
+    The others take part if they meet another in a band. Of these, each is known by its rarest shingles, as many as a
+    set that is so similar cannot miss all of; those of its own say that it has no such partner. A passage that very
+    many documents hold thus brings none of them together, unless they are hardly more than that passage. Among the
+    holders of a shingle not all pairs are tried: the member that meets most others is compared with all; those
+    that are then in no component with it are compared with all in their turn, one of a group first, then 16, 256 and
     so on, until all are in one component or have been compared. So a large group of near copies costs a few comparisons
     a member, and no link is lost. Texts without a word (null, empty) are equal; texts of any length are taken whole;
     rows that repeat each give a row; rows without doc_id are left out; an empty table gives an empty one; further
@@ -221,40 +224,58 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     least = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     banded = least.select("rep", "n", F.posexplode("bands").alias("band", "h"))
     crowds = banded.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1").select("band", "h")
-    members = checkpointed(banded.join(crowds, ["band", "h"]).withColumn("done", F.lit(False)))
-    wanted = checkpointed(members.select(F.col("rep").alias("doc_id")).distinct())
+    wanted = checkpointed(banded.join(crowds, ["band", "h"]).select(F.col("rep").alias("doc_id")).distinct())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "set"])
 
+    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set"):
+            made = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            of = pa.array(np.repeat(np.arange(len(made)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *made]))], ["rep", "key", "n", "h"])
+
     sets = checkpointed(own.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(cut, "rep long, set binary").dropDuplicates())
+    each = sets.select("rep", "set", F.xxhash64("set").alias("key")).mapInArrow(singly, "rep long, key long, n int, h long")
+    holders = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    own_set = Window.partitionBy("rep", "key")
+    shared = each.join(holders, "h").withColumns({"rank": F.row_number().over(own_set.orderBy("size", "h")), "s": F.count("*").over(own_set)})
+    # of a set that is like this one, at most n - s + rank - 1 of these shingles can be missing before the first is met
+    rare = shared.where(F.col("rank") <= F.col("s") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    # who meets most others is most likely what they are copies of, and comes first
+    place = (-F.sum("size").over(Window.partitionBy("rep"))).alias("place")
+    pos = (F.col("n") - F.col("s") + F.col("rank")).alias("pos")
+    members = checkpointed(rare.select("h", "rep", "n", pos, place, F.lit(False).alias("done")))
     of, found, tried, hubs = None, None, None, 1
     while True:
-        now = members.withColumn("c", F.col("rep")) if of is None else members.join(of, members["rep"] == of["node"], "left").select("band", "h", "rep", "n", "done", F.coalesce("component", "rep").alias("c"))
+        now = members.withColumn("c", F.col("rep")) if of is None else members.join(of, members["rep"] == of["node"], "left").select("h", "rep", "n", "pos", "place", "done", F.coalesce("component", "rep").alias("c"))
         now = checkpointed(now)
-        main = now.groupBy("band", "h").agg(F.min(F.struct("rep", "c")).alias("main"))
+        main = now.groupBy("h").agg(F.min(F.struct("place", "rep", "c")).alias("main"))
         if of is None:
-            turn = now.join(main, ["band", "h"]).where("rep = main.rep").select("band", "h", "rep", "n", "c")
+            turn = now.join(main, ["h"]).where("rep = main.rep").select("h", "rep", "n", "pos", "c")
         else:
-            rank = F.row_number().over(Window.partitionBy("band", "h").orderBy("rep"))
-            turn = now.join(main, ["band", "h"]).where("c <> main.c AND NOT done").withColumn("rank", rank).where(F.col("rank") <= hubs).select("band", "h", "rep", "n", "c")
+            rank = F.row_number().over(Window.partitionBy("h").orderBy("place", "rep"))
+            turn = now.join(main, ["h"]).where("c <> main.c AND NOT done").withColumn("rank", rank).where(F.col("rank") <= hubs).select("h", "rep", "n", "pos", "c")
         turn = checkpointed(turn)
         if turn.isEmpty():
             break
-        hub = turn.select("band", "h", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("c").alias("hub_c"))
-        fits = (F.col("hub_c") != F.col("c")) & (F.least("n", "hub_n") >= similarity * F.greatest("n", "hub_n"))
-        pairs = now.join(hub, ["band", "h"]).where(fits).select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
+        hub = turn.select("h", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("c").alias("hub_c"))
+        # if this shingle is the first that they share, no more than what follows it can be shared
+        most = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) + 1
+        fits = (F.col("hub_c") != F.col("c")) & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("hub_n")) - 1e-9)
+        pairs = now.join(hub, ["h"]).where(fits).select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = checkpointed(_alike(pairs, sets, similarity))
         found = links if found is None else checkpointed(found.unionByName(links))
         of = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
         # groups in which somebody waits; those who had their turn are done
-        had = turn.select("band", "h", "rep").withColumn("had", F.lit(True))
-        members = now.join(turn.select("band", "h").distinct(), ["band", "h"], "left_semi").join(had, ["band", "h", "rep"], "left").select("band", "h", "rep", "n", (F.col("done") | F.coalesce("had", F.lit(False))).alias("done"))
-        hubs *= 8
+        had = turn.select("h", "rep").withColumn("had", F.lit(True))
+        members = now.join(turn.select("h").distinct(), ["h"], "left_semi").join(had, ["h", "rep"], "left").select("h", "rep", "n", "pos", "place", (F.col("done") | F.coalesce("had", F.lit(False))).alias("done"))
+        hubs *= 16
     named = least.select("a", "b", "rep")
     if of is not None:
         named = named.join(of, named["rep"] == of["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("rep"))
