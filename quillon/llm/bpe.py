@@ -50,7 +50,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes single pieces (one match of the pre-tokenising pattern each) of bytes to ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 160_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
         self.ranks, self.max_states = ranks, max_states
         self.child: dict[int, int] = {}
         self.node_bytes = [b""]
@@ -102,7 +102,7 @@ class Transducer:
             return ok
         key = (last, token)
         if (ok := self.stable.get(key)) is None:
-            if len(self.stable) > 400_000:
+            if len(self.stable) > 150_000:
                 self.stable.clear()
             ok = self.stable[key] = self.merge(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
         return ok
@@ -221,7 +221,7 @@ class Utf8Stream:
 class Codec:
     """A vocabulary and a pre-tokenising pattern: texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 350_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 150_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer, most_pieces)
