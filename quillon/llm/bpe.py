@@ -50,34 +50,38 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes single pieces (one match of the pre-tokenising pattern each) of bytes to ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 120_000):
         self.ranks, self.max_states = ranks, max_states
+        # pairs are kept as one integer: (trie node, last token + 1), (state, token), (token, token)
+        self.shift = (max(ranks.values(), default=0) + 1).bit_length()
         self.child: dict[int, int] = {}
-        self.node_bytes = [b""]
+        self.depth = [0]
         self.token_at: list[int] = [-1]
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 key = node << 8 | b
                 if (to := self.child.get(key)) is None:
-                    to = self.child[key] = len(self.node_bytes)
-                    self.node_bytes.append(self.node_bytes[node] + bytes((b,)))
+                    to = self.child[key] = len(self.depth)
+                    self.depth.append(self.depth[node] + 1)
                     self.token_at.append(-1)
                 node = to
             self.token_at[node] = rank
-        self.inner = {key >> 8 for key in self.child}
+        self.inner = bytearray(len(self.depth))
+        for key in self.child:
+            self.inner[key >> 8] = 1
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.length_of = {rank: len(token) for token, rank in ranks.items()}
         if any(bytes((b,)) not in ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes, so it cannot encode every text")
         self.whole: dict[int, bool] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.states: list[tuple[int, ...]] = [(0,)]
         self.ids = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The defining procedure: again and again join the leftmost pair of the lowest rank."""
@@ -100,30 +104,32 @@ class Transducer:
             ok = self.whole[token] = self.merge(self.bytes_of[token]) == [token]
         if last < 0 or not ok:
             return ok
-        key = (last, token)
+        key = last << self.shift | token
         if (ok := self.stable.get(key)) is None:
-            if len(self.stable) > 150_000:
+            if len(self.stable) > 300_000:
                 self.stable.clear()
             ok = self.stable[key] = self.merge(self.bytes_of[last] + self.bytes_of[token]) == [last, token]
         return ok
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
+    def _move(self, state: int, byte: int) -> int:
         """The next state and the token that ends the sequence after this byte."""
-        live, ended, child, token_at = [], -1, self.child, self.token_at
-        for node, last in self.states[state]:
+        live, ended, child, token_at, shift = [], -1, self.child, self.token_at, self.shift
+        for pair in self.states[state]:
+            node = pair >> shift
             if (to := child.get(node << 8 | byte)) is not None:
-                if to in self.inner:
-                    live.append((to, last))
-                if ended < 0 and (token := token_at[to]) >= 0 and self._usable(last, token):
+                after = pair - (node << shift)
+                if self.inner[to]:
+                    live.append(to << shift | after)
+                if ended < 0 and (token := token_at[to]) >= 0 and self._usable(after - 1, token):
                     ended = token
         if ended < 0:
             raise ValueError("no stable sequence ends here: these ranks do not come from merges")
-        live.append((0, ended))
+        live.append(ended + 1)
         made = tuple(live)
         if (to := self.ids.get(made)) is None:
             to = self.ids[made] = len(self.states)
             self.states.append(made)
-        move = self.moves[state << 8 | byte] = (to, ended)
+        move = self.moves[state << 8 | byte] = to << shift | ended
         return move
 
     def encode(self, piece: bytes, block: int = 1 << 16) -> list[int]:
@@ -133,14 +139,16 @@ class Transducer:
             self._forget()
         done: list[int] = []
         ends: list[int] = []  # for each byte that is not emitted, the token that would end after it
-        state, step = 0, self._move
+        state, step, shift = 0, self._move, self.shift
+        mask = (1 << shift) - 1
         for start in range(0, len(piece), block):
             if start:  # only pieces as long as a text
                 state = self._emit(ends, done, state)
             find, add = self.moves.get, ends.append
             for byte in piece[start : start + block]:
-                state, token = find(state << 8 | byte) or step(state, byte)
-                add(token)
+                move = find(state << 8 | byte) or step(state, byte)  # never 0, as no move leads to the first state
+                state = move >> shift
+                add(move & mask)
         return done + self._back(ends, len(ends))
 
     def _back(self, ends: list[int], to: int) -> list[int]:
@@ -155,7 +163,7 @@ class Transducer:
 
     def _emit(self, ends: list[int], done: list[int], state: int) -> int:
         """Moves to done what every growing position has in common, and tidies up the tables; the state to go on with."""
-        paths = [self._back(ends, len(ends) - len(self.node_bytes[node])) for node, _ in self.states[state]]
+        paths = [self._back(ends, len(ends) - self.depth[pair >> self.shift]) for pair in self.states[state]]
         sure = 0
         while all(len(p) > sure and p[sure] == paths[0][sure] for p in paths):
             sure += 1
@@ -170,18 +178,20 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers; forgets all when full."""
+    """piece -> its ids as little-endian unsigned 32-bit integers; when full, forgets what was not asked for again."""
 
     def __init__(self, transducer: Transducer, most: int):
         super().__init__()
-        self.transducer, self.most = transducer, most
+        self.transducer, self.most, self.older = transducer, most // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.transducer.encode(piece.encode())
-        ids = struct.pack(f"<{len(ids)}I", *ids)
+        if (ids := self.older.pop(piece, None)) is None:
+            ids = self.transducer.encode(piece.encode())
+            ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
@@ -221,7 +231,7 @@ class Utf8Stream:
 class Codec:
     """A vocabulary and a pre-tokenising pattern: texts to ids and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 240_000):
         self.transducer = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.pieces = _Pieces(self.transducer, most_pieces)
