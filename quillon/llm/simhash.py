@@ -7,15 +7,18 @@ replicated to every anchor for which the excesses over the radii add up to at mo
 home anchor of one of the two, on all 64 bits. Equal fingerprints are one row throughout.
 
 A few differing bits mean nearly equal texts. Texts that share four fifths of their shingles differ in about ten bits of
-64, and up to twenty, which no covering reaches at a bearable replication. similar() serves these: candidates agree in
-one of many bands of minimum hashes and in a rare shingle, and are checked on their whole sets of shingles.
+64, and up to twenty, which no covering of the bits reaches at a bearable replication. similar() serves these: it takes
+many fingerprints, with the corners of a cross-polytope as anchors of each, and checks candidates on the bits of some
+fingerprints, then on their whole sets of shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -152,41 +155,96 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bands of minimum hashes: two sets of similarity j meet in one with probability 1 - (1 - j^WIDTH)^BANDS, 0.99994 at 0.8.
-BANDS, WIDTH = 32, 6
+#: Further fingerprints of 64 bits, for near copies: so many; groups of three of them, which are met at.
+WORDS, MEETINGS = 128, 128
+#: Of these, as many as are kept whole to be compared bit by bit.
+KEPT = 4
 
 
 @cache
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(11)
-    n = BANDS * WIDTH
-    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """For each band the hash of its minimum hashes, as a signed long; none for an empty set."""
-    if not len(hashes):
-        return []
-    multiply, add = _permutations()
-    low = np.full(len(multiply), np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1024):
-        h = hashes[i : i + 1024, None] * multiply
-        h ^= h >> np.uint64(32)
-        low = np.minimum(low, (h * add).min(axis=0))
-    rows = low.reshape(BANDS, WIDTH)
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in rows], dtype=np.uint64).view(np.int64).tolist()
+def _mixers() -> np.ndarray:
+    """Two odd factors for each further fingerprint."""
+    return np.random.default_rng(11).integers(0, 1 << 63, (2, WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@cache
+def _threes() -> np.ndarray:
+    """Which three fingerprints each meeting takes; every one is taken as often as any other."""
+    rng = np.random.default_rng(12)
+    while True:
+        dealt = np.concatenate([rng.permutation(WORDS) for _ in range(3 * MEETINGS // WORDS)]).reshape(MEETINGS, 3)
+        if all(len(set(r)) == 3 for r in dealt.tolist()):
+            return dealt
+
+
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """For each bit of the further fingerprints (a row each) how many of the hashes set it."""
+    first, second = _mixers()
+    total = np.zeros(64 * WORDS, np.int32)
+
+    def count(words: np.ndarray, amount: int) -> None:
+        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+        np.add(total, amount * bits.sum(axis=0, dtype=np.uint8).astype(np.int32), out=total)
+
+    for i in range(0, len(hashes), 504):
+        x = hashes[i : i + 504, None] * first
+        x ^= x >> np.uint64(32)
+        x *= second
+        x ^= x >> np.uint64(29)
+        if k := len(x) // 7:  # seven words turn into the three digits of their sum, bit by bit
+            a, b, c, d, e, f, g = (x[j * k : (j + 1) * k] for j in range(7))
+            u, v = a ^ b, d ^ e
+            left, right = u ^ c, v ^ f
+            both = left ^ right
+            twos = [(a & b) | (u & c), (d & e) | (v & f), (left & right) | (both & g)]
+            w = twos[0] ^ twos[1]
+            count(both ^ g, 1)
+            count(w ^ twos[2], 2)
+            count((twos[0] & twos[1]) | (w & twos[2]), 4)
+        if len(x) > 7 * k:
+            count(x[7 * k :], 1)
+    return total.reshape(WORDS, 64)
+
+
+def corners(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The home anchor of each further fingerprint, and the first KEPT of these as signed longs.
+
+    The anchors of a fingerprint are the 128 corners of a cross-polytope, one for each bit and value: home is the bit
+    whose majority is clearest, which near copies share most often. 64 * value + bit.
+    """
+    lead = 2 * ones(hashes) - len(hashes)
+    at = np.abs(lead).argmax(axis=1)
+    home = at + 64 * (lead[np.arange(WORDS), at] > 0)
+    return home.astype(np.uint8), np.packbits(lead[:KEPT] > 0, axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def meetings(home: np.ndarray) -> np.ndarray:
+    """For rows of home anchors the keys at which they meet others, one for each meeting."""
+    three = home[:, _threes()].astype(np.int64)
+    return np.arange(MEETINGS) << 21 | three[:, :, 0] << 14 | three[:, :, 1] << 7 | three[:, :, 2]
+
+
+def most_bits(bits: int, similarity: float) -> int:
+    """How many of the bits differ at most between sets that are so similar: what is expected, a quarter more as small
+    sets have, and five standard deviations."""
+    p = min(0.5, 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    return int(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, a, b (a digest of the set of shingles), n (its size), bands of every row."""
+    """doc_id, a, b (a digest of the set of shingles), n (its size), home (anchors), f0, f1 ... (fingerprints) of every row."""
+    names = [f"f{i}" for i in range(KEPT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in made]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(digests[:, i])) for i in (0, 1)), pa.array(map(len, made), pa.int32()), pa.array(map(bands, made), pa.list_(pa.int64()))], ["doc_id", "a", "b", "n", "bands"])
+            known = [corners(x) for x in made]
+            kept = np.array([k for _, k in known]).reshape(-1, KEPT)
+            longs = (pa.array(np.ascontiguousarray(c)) for c in (*digests.T, *kept.T))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, made), pa.int32()), pa.array([h.tobytes() for h, _ in known], pa.binary()), *longs], ["doc_id", "n", "home", "a", "b", *names])
 
-    return docs.mapInArrow(run, "doc_id long, a long, b long, n int, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, home binary, a long, b long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -205,80 +263,84 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right").mapInArrow(run, "x long, y long")
 
 
+def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs whose nodes are not in one component. of: node, component."""
+    for c in pairs.columns:
+        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")), c, "left")
+    one, other = (c for c in pairs.columns if not c.endswith("_of"))
+    return pairs.where(F.coalesce(f"{one}_of", one) != F.coalesce(f"{other}_of", other)).select(one, other)
+
+
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: documents linked by chains of texts whose sets of shingles have that Jaccard similarity.
 
     component_id is the smallest doc_id reachable. Equal sets count once: they are the copies of their smallest doc_id.
-    The others take part if they meet another in a band. Of these, each is known by its rarest shingles, as many as a
-    set that is so similar cannot miss all of; those of its own say that it has no such partner. A passage that very
-    many documents hold thus brings none of them together, unless they are hardly more than that passage. Among the
-    holders of a shingle not all pairs are tried: the member that meets most others is compared with all; those
-    that are then in no component with it are compared with all in their turn, one of a group first, then 16, 256 and
-    so on, until all are in one component or have been compared. So a large group of near copies costs a few comparisons
-    a member, and no link is lost. Texts without a word (null, empty) are equal; texts of any length are taken whole;
-    rows that repeat each give a row; rows without doc_id are left out; an empty table gives an empty one; further
-    columns, of whatever names, are ignored.
+    The others are searched by SimHash: each has WORDS fingerprints, and meets those that share the home anchors of
+    three of these; who meets is compared by the bits of KEPT fingerprints, and who is near by the whole sets. Sets of a
+    similarity of 0.8 meet with a probability of about 0.9998 (see README), more similar ones more surely, less similar
+    ones less so. Where many meet, not all pairs are tried: all are compared with the smallest doc_id; those that are
+    then in no component with it are compared with all in their turn, 16 of a group first, then 1,024 and so on, until
+    all are in one component or have been compared. So a large group of near copies costs a few comparisons a member,
+    and no link is lost of those who meet. Texts without a word (null, empty) are equal; texts of any length are taken
+    whole; rows that repeat each give a row; rows without doc_id are left out; an empty table gives an empty one;
+    further columns, of whatever names, are ignored.
     """
     own = documents(docs).where("doc_id IS NOT NULL")
     rows = checkpointed(_sets(own, shingle))
-    least = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    banded = least.select("rep", "n", F.posexplode("bands").alias("band", "h"))
-    crowds = banded.groupBy("band", "h").agg(F.count("*").alias("size")).where("size > 1").select("band", "h")
-    wanted = checkpointed(banded.join(crowds, ["band", "h"]).select(F.col("rep").alias("doc_id")).distinct())
+    kept = [f"f{i}" for i in range(KEPT)]
+    least = checkpointed(rows.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "home", *kept))))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                home = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WORDS)
+                of = pa.array(np.repeat(np.arange(len(home)), MEETINGS))
+                yield pa.RecordBatch.from_arrays([pa.array(meetings(home).ravel()), *(part.column(k).take(of) for k in (0, 1))], ["key", "rep", "fp"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "set"])
 
-    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set"):
-            made = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-            sizes = np.fromiter(map(len, made), np.int64, len(made))
-            of = pa.array(np.repeat(np.arange(len(made)), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *made]))], ["rep", "key", "n", "h"])
-
-    sets = checkpointed(own.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(cut, "rep long, set binary").dropDuplicates())
-    each = sets.select("rep", "set", F.xxhash64("set").alias("key")).mapInArrow(singly, "rep long, key long, n int, h long")
-    holders = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
-    own_set = Window.partitionBy("rep", "key")
-    shared = each.join(holders, "h").withColumns({"rank": F.row_number().over(own_set.orderBy("size", "h")), "s": F.count("*").over(own_set)})
-    # of a set that is like this one, at most n - s + rank - 1 of these shingles can be missing before the first is met
-    rare = shared.where(F.col("rank") <= F.col("s") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
-    # who meets most others is most likely what they are copies of, and comes first
-    place = (-F.sum("size").over(Window.partitionBy("rep"))).alias("place")
-    pos = (F.col("n") - F.col("s") + F.col("rank")).alias("pos")
-    members = checkpointed(rare.select("h", "rep", "n", pos, place, F.lit(False).alias("done")))
-    of, found, tried, hubs = None, None, None, 1
+    # a smaller set has no other one that is so similar: n of n + 1 is the most
+    able = least.where(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9).select("rep", F.col("f0").alias("fp"), "home")
+    here = Window.partitionBy("key")
+    met = able.mapInArrow(meet, "key long, rep long, fp long").withColumns({"hub": F.min(F.struct("rep", "fp")).over(here), "size": F.count("*").over(here)})
+    members = checkpointed(met.where("size > 1").select("key", "rep", "fp", "size", F.col("hub.rep").alias("hub"), F.col("hub.fp").alias("hub_fp")))
+    near = (F.col("rep") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= most_bits(64, similarity))
+    ordered = (F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y"))
+    pairs = members.where(near).select(*ordered).distinct()
+    # who has met one other only has been compared with it; the others may wait for a turn
+    members = members.where("size > 2").select("key", "rep", "fp", "hub")
+    unlike = checkpointed(members.where("rep <> hub").select("rep", "hub").distinct())
+    of, tried, done, hubs = None, None, None, 16
     while True:
-        now = members.withColumn("c", F.col("rep")) if of is None else members.join(of, members["rep"] == of["node"], "left").select("h", "rep", "n", "pos", "place", "done", F.coalesce("component", "rep").alias("c"))
-        now = checkpointed(now)
-        main = now.groupBy("h").agg(F.min(F.struct("place", "rep", "c")).alias("main"))
-        if of is None:
-            turn = now.join(main, ["h"]).where("rep = main.rep").select("h", "rep", "n", "pos", "c")
-        else:
-            rank = F.row_number().over(Window.partitionBy("h").orderBy("place", "rep"))
-            turn = now.join(main, ["h"]).where("c <> main.c AND NOT done").withColumn("rank", rank).where(F.col("rank") <= hubs).select("h", "rep", "n", "pos", "c")
-        turn = checkpointed(turn)
+        for c in ("x", "y"):
+            pairs = pairs.join(least.select(F.col("rep").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", *kept))), c)
+        bits = reduce(add, (F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in kept))
+        sizes = F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-9
+        pairs = checkpointed(pairs.where(sizes & (bits <= most_bits(64 * KEPT, similarity))).select("x", "y"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
+        sets = own.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(cut, "rep long, set binary").dropDuplicates()
+        links = checkpointed(_alike(pairs, checkpointed(sets), similarity)).toDF("a", "b")
+        # what is linked already goes on as stars, which settle sooner than all links
+        if of is None or not links.isEmpty():
+            known = links if of is None else links.unionByName(of.where("node <> component").toDF("a", "b"))
+            of = checkpointed(components(known))
+        unlike = checkpointed(_apart(unlike, of))
+        turn = members.join(unlike, ["rep", "hub"], "left_semi")
+        turn = turn if done is None else turn.join(done, ["key", "rep"], "left_anti")
+        turn = checkpointed(turn.withColumn("rank", F.row_number().over(here.orderBy("rep"))).where(F.col("rank") <= hubs).select("key", F.col("rep").alias("hub"), F.col("fp").alias("hub_fp")))
         if turn.isEmpty():
             break
-        hub = turn.select("h", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"), F.col("c").alias("hub_c"))
-        # if this shingle is the first that they share, no more than what follows it can be shared
-        most = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) + 1
-        fits = (F.col("hub_c") != F.col("c")) & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("hub_n")) - 1e-9)
-        pairs = now.join(hub, ["h"]).where(fits).select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = checkpointed(_alike(pairs, sets, similarity))
-        found = links if found is None else checkpointed(found.unionByName(links))
-        of = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        # groups in which somebody waits; those who had their turn are done
-        had = turn.select("h", "rep").withColumn("had", F.lit(True))
-        members = now.join(turn.select("h").distinct(), ["h"], "left_semi").join(had, ["h", "rep"], "left").select("h", "rep", "n", "pos", "place", (F.col("done") | F.coalesce("had", F.lit(False))).alias("done"))
-        hubs *= 16
-    named = least.select("a", "b", "rep")
-    if of is not None:
-        named = named.join(of, named["rep"] == of["node"], "left").select("a", "b", F.coalesce("component", "rep").alias("rep"))
+        pairs = members.drop("hub").join(turn, "key").where(near).select(*ordered).distinct().join(tried, ["x", "y"], "left_anti")
+        pairs = _apart(pairs, of)
+        had = turn.select("key", F.col("hub").alias("rep"))
+        done = had if done is None else done.unionByName(had)
+        hubs *= 64
+    named = least.select("a", "b", "rep").join(of, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("rep"))
     return rows.select("doc_id", "a", "b").join(checkpointed(named), ["a", "b"]).select("doc_id", F.col("rep").alias("component_id"))
 
 

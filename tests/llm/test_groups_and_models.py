@@ -177,6 +177,45 @@ def test_similar_on_awkward_rows(spark):
     assert got == Counter((r[0], want[r[0]]) for r in awkward() if r[0] is not None)
 
 
+@pytest.mark.parametrize("n", [1, 6, 7, 503, 505, 1300])
+def test_ones_are_counted(n):
+    hashes = np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64)
+    words = hashes[:, None] * simhash._mixers()[0]
+    words = (words ^ words >> np.uint64(32)) * simhash._mixers()[1]
+    words ^= words >> np.uint64(29)
+    want = [(words >> np.uint64(b) & np.uint64(1)).sum(axis=0) for b in range(64)]
+    assert (simhash.ones(hashes) == np.array(want).T).all()
+    home, kept = simhash.corners(hashes)
+    lead = 2 * np.array(want).T.astype(int) - n
+    assert all(abs(lead[w, a & 63]) == abs(lead[w]).max() and (lead[w, a & 63] > 0) == (a >= 64) for w, a in enumerate(home.tolist()))
+    assert kept.view(np.uint64).tolist() == [sum(1 << b for b in range(64) if lead[w, b] > 0) for w in range(simhash.KEPT)]
+
+
+@pytest.mark.parametrize("common, one, other", [(4, 0, 1), (40, 5, 5), (40, 0, 10), (160, 20, 20)])
+def test_near_copies_meet_by_fingerprints(common, one, other):
+    """Sets of a similarity of 0.8 share an anchor and are near by their bits; others hardly ever do."""
+    rng, missed, strangers, last = np.random.default_rng(common), 0, 0, None
+    for _ in range(150):
+        h = rng.integers(0, 1 << 64, common + one + other, dtype=np.uint64)
+        (a, f), (b, g) = simhash.corners(h[: common + one]), simhash.corners(np.concatenate((h[:common], h[common + one :])))
+        bits = np.bitwise_count((f ^ g).view(np.uint64))
+        x, y = simhash.meetings(np.array([a, b]))
+        missed += not (x == y).any() or bits[0] > simhash.most_bits(64, 0.8) or bits.sum() > simhash.most_bits(256, 0.8)
+        strangers += last is not None and np.bitwise_count((f ^ last).view(np.uint64)).sum() <= simhash.most_bits(256, 0.8)
+        last = f
+    assert missed <= 1 and strangers == 0
+
+
+def test_the_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
+    """Without a fingerprint that two share, nothing is a near copy; equal texts still are."""
+    text = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, text, "en", "s", 1), (2, f"{text} more", "en", "s", 1), (3, text, "en", "s", 1)]
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert [r["doc_id"] for r in stage(spark, frame(spark, rows), "").collect()] == [1]
+    monkeypatch.setattr(simhash, "most_bits", lambda bits, similarity: -1)
+    assert sorted(r["doc_id"] for r in stage(spark, frame(spark, rows), "").collect()) == [1, 2]
+
+
 # classifiers
 
 
