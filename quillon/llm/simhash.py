@@ -15,9 +15,9 @@ fingerprints, then on their whole sets of shingles.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache, reduce
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 from operator import add
 
 import numpy as np
@@ -159,6 +159,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
 WORDS, MEETINGS = 128, 128
 #: Of these, as many as are kept whole to be compared bit by bit.
 KEPT = 4
+#: Who is near more than FEW others at a key, by two fingerprints, or is one of more than MANY there, is one of a crowd.
+FEW, MANY = 2, 256
 
 
 @cache
@@ -263,12 +265,91 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "left", "right").mapInArrow(run, "x long, y long")
 
 
-def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component. of: node, component."""
-    for c in pairs.columns:
-        pairs = pairs.join(of.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")), c, "left")
-    one, other = (c for c in pairs.columns if not c.endswith("_of"))
-    return pairs.where(F.coalesce(f"{one}_of", one) != F.coalesce(f"{other}_of", other)).select(one, other)
+def _pairs_and_crowds(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows key, rep, f0, f1 in the order of keys: x, y of those at one key whose bits differ in at most `limit`.
+
+    Not all pairs are given where many meet: who is near more than FEW others at a key, those others, and everyone at a
+    key of more than MANY, are given alone, with null for y.
+    """
+
+    def near(key: np.ndarray, rep: np.ndarray, *bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """x, y and the crowd of whole keys."""
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        full = np.repeat(sizes > MANY, sizes)
+        at, found = np.flatnonzero(~full & np.repeat(sizes > 1, sizes)), []
+        for d in range(1, MANY):
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            if not len(at):
+                break
+            apart = reduce(add, (np.bitwise_count((f[at] ^ f[at + d]).view(np.uint64)).astype(np.int32) for f in bits))
+            good = at[(apart <= limit) & (rep[at] != rep[at + d])]
+            found.append(np.stack((good, good + d)))
+        one, other = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        others = np.bincount(one, minlength=len(key)) + np.bincount(other, minlength=len(key))
+        crowded = (others[one] > FEW) | (others[other] > FEW)
+        crowd = np.unique(np.concatenate((rep[full], rep[one[crowded]], rep[other[crowded]])))
+        x, y = rep[one[~crowded]], rep[other[~crowded]]
+        return np.minimum(x, y), np.maximum(x, y), crowd
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, crowd = np.zeros((4, 0), np.int64), np.zeros(0, np.int64)
+        for batch in chain(batches, [None]):
+            if batch is None:
+                rows, end = waiting, waiting.shape[1]
+            else:
+                rows = np.concatenate((waiting, [c.to_numpy(zero_copy_only=False) for c in batch.columns]), axis=1)
+                end = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0
+            # the last key may go on in the next batch; of one that is full already, what shows this is kept
+            whole, waiting = rows[:, :end], rows[:, end:]
+            full, waiting = waiting[1, : -MANY - 1], waiting[:, -MANY - 1 :]
+            x, y, more = near(*whole) if end else (full[:0],) * 3
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            crowd = np.unique(np.concatenate((crowd, more, full)))
+            if len(crowd) and (batch is None or len(crowd) > 1 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64())], ["x", "y"])
+                crowd = crowd[:0]
+
+    return run
+
+
+def _meeting(pairs: DataFrame) -> DataFrame:
+    """x, y of the pairs (x, y, x_home, y_home) that share a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                one, other = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, WORDS) for k in (2, 3))
+                meet = (one == other)[:, _threes()].all(axis=2).any(axis=1)
+                yield pa.RecordBatch.from_arrays(part.columns[:2], ["x", "y"]).filter(pa.array(meet))
+
+    return pairs.select("x", "y", "x_home", "y_home").mapInArrow(run, "x long, y long")
+
+
+def _rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """The rarest shingles of each of the sets, of which two sets that are so similar share one. sets: rep, set.
+
+    h, rep, n (size), pos (how many of the set come up to this one, those of its own first), place (smallest for who
+    shares most). Shingles that no other of the sets has bring none together, and of a set of which these are too many
+    there is no row.
+    """
+
+    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set"):
+            made = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            sizes = np.fromiter(map(len, made), np.int64, len(made))
+            of = pa.array(np.repeat(np.arange(len(made)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *made]))], ["rep", "key", "n", "h"])
+
+    each = sets.select("rep", "set", F.xxhash64("set").alias("key")).mapInArrow(singly, "rep long, key long, n int, h long")
+    holders = each.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    own_set = Window.partitionBy("rep", "key")
+    shared = each.join(holders, "h").withColumns({"rank": F.row_number().over(own_set.orderBy("size", "h")), "s": F.count("*").over(own_set), "place": -F.sum("size").over(own_set)})
+    rare = shared.where(F.col("rank") <= F.col("s") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    return rare.select("h", "rep", "n", (F.col("n") - F.col("s") + F.col("rank")).alias("pos"), "place")
 
 
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -278,8 +359,10 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
     The others are searched by SimHash: each has WORDS fingerprints, and meets those that share the home anchors of
     three of these; who meets is compared by the bits of KEPT fingerprints, and who is near by the whole sets. Sets of a
     similarity of 0.8 meet with a probability of about 0.9998 (see README), more similar ones more surely, less similar
-    ones less so. Where many meet, not all pairs are tried: all are compared with the smallest doc_id; those that are
-    then in no component with it are compared with all in their turn, 16 of a group first, then 1,024 and so on, until
+    ones less so. Where many meet who are near by their bits, not all pairs are tried: such documents are compared if
+    they meet and share one of their rarest shingles, as sets that are so similar always do, and what follows it can be
+    enough. Among the holders of a shingle the one that shares most with the others is compared with all; those that are
+    then in no component with it are compared with all in their turn, 32 of a group first, then 1,024 and so on, until
     all are in one component or have been compared. So a large group of near copies costs a few comparisons a member,
     and no link is lost of those who meet. Texts without a word (null, empty) are equal; texts of any length are taken
     whole; rows that repeat each give a row; rows without doc_id are left out; an empty table gives an empty one;
@@ -294,9 +377,9 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                home = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, WORDS)
+                home = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, WORDS)
                 of = pa.array(np.repeat(np.arange(len(home)), MEETINGS))
-                yield pa.RecordBatch.from_arrays([pa.array(meetings(home).ravel()), *(part.column(k).take(of) for k in (0, 1))], ["key", "rep", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(meetings(home).ravel()), *(part.column(k).take(of) for k in range(3))], ["key", "rep", "f0", "f1"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -304,42 +387,47 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["rep", "set"])
 
     # a smaller set has no other one that is so similar: n of n + 1 is the most
-    able = least.where(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9).select("rep", F.col("f0").alias("fp"), "home")
-    here = Window.partitionBy("key")
-    met = able.mapInArrow(meet, "key long, rep long, fp long").withColumns({"hub": F.min(F.struct("rep", "fp")).over(here), "size": F.count("*").over(here)})
-    members = checkpointed(met.where("size > 1").select("key", "rep", "fp", "size", F.col("hub.rep").alias("hub"), F.col("hub.fp").alias("hub_fp")))
-    near = (F.col("rep") != F.col("hub")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub_fp"))) <= most_bits(64, similarity))
-    ordered = (F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y"))
-    pairs = members.where(near).select(*ordered).distinct()
-    # who has met one other only has been compared with it; the others may wait for a turn
-    members = members.where("size > 2").select("key", "rep", "fp", "hub")
-    unlike = checkpointed(members.where("rep <> hub").select("rep", "hub").distinct())
-    of, tried, done, hubs = None, None, None, 16
+    able = least.where(F.col("n") >= similarity * (F.col("n") + 1) - 1e-9)
+    met = able.select("rep", "f0", "f1", "home").mapInArrow(meet, "key long, rep long, f0 long, f1 long").repartition("key").sortWithinPartitions("key")
+    met = checkpointed(met.mapInArrow(_pairs_and_crowds(most_bits(128, similarity)), "x long, y long").distinct())
+    wanted = checkpointed(met.select(F.explode(F.array("x", "y")).alias("doc_id")).where("doc_id IS NOT NULL").distinct())
+    sets = checkpointed(own.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(cut, "rep long, set binary").dropDuplicates())
+    known = checkpointed(able.join(wanted, F.col("rep") == F.col("doc_id"), "left_semi").select("rep", "n", "home", *kept))
+    crowd = met.where("y IS NULL").select(F.col("x").alias("rep"))
+    now = checkpointed(_rare(sets.join(crowd, "rep", "left_semi"), similarity).withColumns({"c": F.col("rep"), "done": F.lit(False)}))
+    main = now.groupBy("h").agg(F.min(F.struct("place", "rep", "c")).alias("main"))
+    turn = checkpointed(now.join(main, "h").where("rep = main.rep").select("h", "rep", "n", "pos", "c"))
+    of, tried, hubs = None, None, 32
     while True:
+        hub = turn.select("h", *(F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "pos", "c")))
+        # if this shingle is the first that they share, no more than what follows it can be shared
+        most = F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos")) + 1
+        fits = (F.col("hub_c") != F.col("c")) & (most * (1 + similarity) >= similarity * (F.col("n") + F.col("hub_n")) - 1e-9)
+        pairs = now.join(hub, "h").where(fits).select(F.least("rep", "hub_rep").alias("x"), F.greatest("rep", "hub_rep").alias("y"))
+        pairs = pairs.unionByName(met.where("y IS NOT NULL")).distinct() if tried is None else pairs.distinct().join(tried, ["x", "y"], "left_anti")
+        pairs = checkpointed(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         for c in ("x", "y"):
-            pairs = pairs.join(least.select(F.col("rep").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", *kept))), c)
+            pairs = pairs.join(known.select(F.col("rep").alias(c), *(F.col(k).alias(f"{c}_{k}") for k in ("n", "home", *kept))), c)
         bits = reduce(add, (F.bit_count(F.col(f"x_{k}").bitwiseXOR(F.col(f"y_{k}"))) for k in kept))
         sizes = F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-9
-        pairs = checkpointed(pairs.where(sizes & (bits <= most_bits(64 * KEPT, similarity))).select("x", "y"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        wanted = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-        sets = own.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(cut, "rep long, set binary").dropDuplicates()
-        links = checkpointed(_alike(pairs, checkpointed(sets), similarity)).toDF("a", "b")
+        pairs = _meeting(pairs.where(sizes & (bits <= most_bits(64 * KEPT, similarity)))).distinct()
+        links = checkpointed(_alike(pairs, sets, similarity)).toDF("a", "b")
         # what is linked already goes on as stars, which settle sooner than all links
         if of is None or not links.isEmpty():
-            known = links if of is None else links.unionByName(of.where("node <> component").toDF("a", "b"))
-            of = checkpointed(components(known))
-        unlike = checkpointed(_apart(unlike, of))
-        turn = members.join(unlike, ["rep", "hub"], "left_semi")
-        turn = turn if done is None else turn.join(done, ["key", "rep"], "left_anti")
-        turn = checkpointed(turn.withColumn("rank", F.row_number().over(here.orderBy("rep"))).where(F.col("rank") <= hubs).select("key", F.col("rep").alias("hub"), F.col("fp").alias("hub_fp")))
+            of = checkpointed(components(links if of is None else links.unionByName(of.where("node <> component").toDF("a", "b"))))
+        # groups in which somebody waits; those who had their turn are done
+        had = turn.select("h", "rep", F.lit(True).alias("had"))
+        now = now.drop("c").join(had, ["h", "rep"], "left").join(of, F.col("rep") == F.col("node"), "left")
+        now = checkpointed(now.select("h", "rep", "n", "pos", "place", F.coalesce("component", "rep").alias("c"), (F.col("done") | F.coalesce("had", F.lit(False))).alias("done")))
+        main = now.groupBy("h").agg(F.min(F.struct("place", "rep", "c")).alias("main"))
+        rank = F.row_number().over(Window.partitionBy("h").orderBy("place", "rep"))
+        turn = now.join(main, "h").where("c <> main.c AND NOT done").withColumn("rank", rank).where(F.col("rank") <= hubs)
+        turn = checkpointed(turn.select("h", "rep", "n", "pos", "c"))
         if turn.isEmpty():
             break
-        pairs = members.drop("hub").join(turn, "key").where(near).select(*ordered).distinct().join(tried, ["x", "y"], "left_anti")
-        pairs = _apart(pairs, of)
-        had = turn.select("key", F.col("hub").alias("rep"))
-        done = had if done is None else done.unionByName(had)
-        hubs *= 64
+        now = now.join(turn.select("h").distinct(), "h", "left_semi")
+        hubs *= 32
     named = least.select("a", "b", "rep").join(of, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("rep"))
     return rows.select("doc_id", "a", "b").join(checkpointed(named), ["a", "b"]).select("doc_id", F.col("rep").alias("component_id"))
 

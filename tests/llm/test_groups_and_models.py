@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -206,6 +207,56 @@ def test_near_copies_meet_by_fingerprints(common, one, other):
     assert missed <= 1 and strangers == 0
 
 
+def test_pairs_and_crowds_equal_brute_force():
+    """Also over batches that end within a key, and with a key of very many."""
+    rng = random.Random(5)
+    seeds = [rng.getrandbits(64) for _ in range(4)]
+    sizes = [1, 2, 3, 4, 9, 1, 30, simhash.MANY + 1, 2, 1, simhash.MANY, 700, 2, 3]
+    rows, rep = [], 0
+    for k, size in enumerate(sizes):
+        for _ in range(size):
+            rep += 1
+            rows.append((k - 3, rng.randrange(40) if k == 6 else rep, *(rng.choice(seeds) ^ 1 << rng.randrange(64) if size < 40 else rng.getrandbits(64) for _ in range(2))))
+    want, crowd = set(), set()
+    for k in range(len(sizes)):
+        here = [r for r in rows if r[0] == k - 3]
+        near = [(a, b) for a in range(len(here)) for b in range(a) if here[a][1] != here[b][1] and sum((here[a][c] ^ here[b][c]).bit_count() for c in (2, 3)) <= 46]
+        others = Counter(x for p in near for x in p)
+        full = [p for p in near if max(others[x] for x in p) > simhash.FEW]
+        crowd |= {r[1] for r in here if len(here) > simhash.MANY} | {here[x][1] for p in full for x in p}
+        if len(here) <= simhash.MANY:
+            want |= {tuple(sorted(here[x][1] for x in p)) for p in near if p not in full}
+    columns = [np.array(c, np.uint64).view(np.int64) if i > 1 else np.array(c, np.int64) for i, c in enumerate(zip(*rows, strict=True))]
+    for step in (1, 7, 100, len(rows)):
+        batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in columns], ["key", "rep", "f0", "f1"]) for i in range(0, len(rows), step))
+        got = [(r["x"], r["y"]) for b in simhash._pairs_and_crowds(46)(batches) for r in b.to_pylist()]
+        assert {p for p in got if p[1] is not None} == want and {x for x, y in got if y is None} == crowd
+    assert want and list(simhash._pairs_and_crowds(46)(iter([]))) == []
+
+
+def test_a_crowd_of_unlike_texts_is_not_compared_in_all_pairs(spark, monkeypatch):
+    """Members that are near by their bits, and alike to the first or to nobody: a few comparisons for each."""
+    rng = random.Random(6)
+    base = sentence(rng, 200).split()
+    rows = [(0, " ".join(base), "en", "s", 1)]
+    for i in range(1, 160):
+        w = list(base)
+        for k in rng.sample(range(len(w)), 3 if i % 4 == 0 else 14):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    compared, alike = [], simhash._alike
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return alike(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "_alike", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(frame(spark, rows), 5, 0.8).collect()}
+    want = brute_similar(rows, 5, 0.8)
+    assert got == want and 35 < len(rows) - len(set(want.values())) < 60
+    assert sum(compared) < 6 * len(rows)
+
+
 def test_the_pipeline_finds_near_copies_by_simhash(spark, monkeypatch):
     """Without a fingerprint that two share, nothing is a near copy; equal texts still are."""
     text = " ".join(f"word{i}" for i in range(120))
