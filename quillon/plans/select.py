@@ -7,21 +7,23 @@ both are asked for). Catalyst pushes filters and column pruning into the scans f
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..expr.compile import comparison, wildcard
 from ..expr.errors import ExpressionError
 from ..expr.typed import Typed, constant, of_field
-from ..operators.compare import decided
+from ..operators.compare import MIRROR, decided
 from ..sql import ast
 from ..sql.parser import SqlError
 
 _LABEL = re.compile(r"(COUNT|MIN|MAX|SUM|AVG)_(\w+)\Z")
+#: Rows of a block of a theta join: as many rows are made at a time.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,94 @@ def condition(node: ast.Condition, term: Callable[[ast.Name | ast.Aggregate], Ty
         raise SqlError(f"{type(e).__name__}: {e}") from e
 
 
+def _terms(node: ast.Condition) -> list[ast.Condition]:
+    """What AND holds together."""
+    return _terms(node.left) + _terms(node.right) if node.op == "and" else [node]
+
+
+def _mentioned(x) -> Iterator[str]:
+    """The column names in a part of a statement, those in labels such as MAX_salary too."""
+    if isinstance(x, ast.Name):
+        yield x.column
+        if m := _LABEL.match(x.column):
+            yield m[2]
+    elif isinstance(x, ast.Aggregate):
+        yield from _mentioned(x.of)
+    elif isinstance(x, ast.Condition):
+        yield from (*_mentioned(x.left), *_mentioned(x.right))
+    elif isinstance(x, (list, tuple)):
+        for y in x:
+            yield from _mentioned(y)
+
+
+def _theta(df: DataFrame, right: DataFrame, scope: Scope, join: ast.Join, stmt: ast.Select) -> DataFrame | None:
+    """An inner join on equal keys and an order between the sides; None if the condition is another one.
+
+    Such keys are few and their pairs many, so neither the files of one side nor the keys may say how many tasks share
+    the work. The rows so far are sorted within their key and cut into blocks; blocks and the rows of the table that is
+    joined are dealt to all tasks, and a row meets the blocks whose largest (or smallest) value lets it match. Pairs are
+    made from a block at a time and then held against the condition. The columns get names of their own.
+    """
+
+    def across(t: ast.Condition) -> tuple[Bound, Bound, str] | None:
+        """Column so far, column of the joined table, operator between them."""
+        if t.op not in MIRROR or not (isinstance(t.left, ast.Name) and isinstance(t.right, ast.Name)):
+            return None
+        a, b = scope.find(t.left), scope.find(t.right)
+        if (a.table == join.table) == (b.table == join.table):
+            return None
+        return (a, b, t.op) if b.table == join.table else (b, a, MIRROR[t.op])
+
+    terms = [(t, across(t)) for t in _terms(join.on)]
+    keys = [x for _, x in terms if x and x[2] == "=="]
+    ranges = [x for _, x in terms if x and x[2] not in ("==", "!=")]
+    if join.how != "inner" or not keys or not ranges or not all(isinstance(a.field.dataType, T.AtomicType) for a, _, _ in keys + ranges):
+        return None
+    rest = [t for t, x in terms if not x or x[2] != "=="]
+    used = set(_mentioned([stmt.items or [], stmt.where, stmt.group_by, stmt.having, stmt.order_by, [j.on for j in stmt.joins if j is not join], rest]))
+    kept = [b for b in scope.columns if stmt.items is None or b.field.name in used]
+
+    def name(b: Bound) -> str:
+        return f"{b.table}.{b.field.name}"
+
+    def col(b: Bound) -> Column:
+        return F.col(f"`{name(b)}`")
+
+    def bound(a: Bound, op: str) -> Column:
+        """The value of a block that matches if any does: NaN matches nothing, NULL is the smallest."""
+        x = F.when(~F.isnan(col(a)), col(a)) if a.typed.nan else col(a)
+        return F.max(x) if op in (">", ">=") else F.when(~F.bool_or(col(a).isNull()), F.min(x))
+
+    def reached(a: Bound, b: Bound, op: str) -> Callable[[Column], Column]:
+        return lambda x: comparison(op, replace(a.typed, column=x, nullable=True), replace(b.typed, column=col(b))).column
+
+    ours, theirs = [b for b in kept if b.table != join.table], [b for b in kept if b.table == join.table]
+    key, bounds = [f"key{i}" for i in range(len(keys))], [f"bound{i}" for i in range(len(ranges))]
+    rows = df.select(*(b.typed.column.alias(name(b)) for b in ours), *(a.typed.column.alias(k) for k, (a, _, _) in zip(key, keys, strict=True)))
+    first, others = ranges[0][0], [b for b in ours if name(b) != name(ranges[0][0])]
+    ties = [col(b) for b in others if isinstance(b.field.dataType, T.AtomicType)]  # a task that runs again makes the same blocks
+    number = F.row_number().over(Window.partitionBy(*key).orderBy(col(first), *ties))
+    blocks = rows.withColumn("block", F.floor((number - 1) / BLOCK)).groupBy(*key, "block")
+    blocks = blocks.agg(F.collect_list(F.struct(*map(col, ours))).alias("rows"), *(bound(a, op).alias(n) for n, (a, _, op) in zip(bounds, ranges, strict=True)))
+    blocks = blocks.select(*key, *bounds, *(F.col("rows").getField(name(b)).alias(name(b)) for b in ours))  # an array a column
+
+    dealt = right.select(*(b.typed.column.alias(name(b)) for b in theirs), *(b.typed.column.alias(f"with_{k}") for k, (_, b, _) in zip(key, keys, strict=True)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks, dealt = blocks.repartition(tasks), dealt.repartition(tasks)
+    on = F.lit(True)
+    for k, (a, b, _) in zip(key, keys, strict=True):
+        on &= comparison("==", replace(a.typed, column=F.col(k)), replace(b.typed, column=F.col(f"with_{k}"))).column
+    for n, x in zip(bounds, ranges, strict=True):
+        # exists() is not generated code, so the join hands its rows on one by one: else all pairs of a row are held at once
+        on &= F.exists(F.array(n), reached(*x))
+    pairs = blocks.join(dealt, on).select(*map(col, theirs), *map(col, others), F.posexplode(col(first)).alias("place", name(first)))
+    pairs = pairs.select(*map(col, theirs), col(first), *(F.get(col(b), F.col("place")).alias(name(b)) for b in others))
+    scope.columns = [replace(b, typed=replace(b.typed, column=col(b))) for b in scope.columns]
+    for t in rest:
+        pairs = pairs.where(condition(t, lambda x: _plain(scope, x)))
+    return pairs
+
+
 def _from(stmt: ast.Select, lookup: Callable[[str], Table]) -> tuple[DataFrame, Scope]:
     scope = Scope()
     df = scope.add(lookup(stmt.table))
@@ -103,7 +193,8 @@ def _from(stmt: ast.Select, lookup: Callable[[str], Table]) -> tuple[DataFrame,
             df = df.crossJoin(right) if join.how == "inner" else df.join(right, F.lit(True), join.how)
         else:
             on = condition(join.on, lambda x: _plain(scope, x))
-            df = df.join(right, on, join.how)
+            pairs = _theta(df, right, scope, join, stmt)
+            df = df.join(right, on, join.how) if pairs is None else pairs
         scope.loosen({"inner": set(), "left": {join.table}, "right": before, "full": before | {join.table}}[join.how])
     return df, scope
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__
@@ -379,3 +381,50 @@ def test_outer_joins_read_every_customer(spark):
     assert {r[0] for r in out["agg_outer_count"]} == everyone == {r[0] for r in out["join_full"]} - {None}
     assert any(r[0] is None for r in out["join_right"]) and any(r[1] is None for r in out["join_full"])
     assert any(r[0] % 3 for r in out["join_left_null_filter"])
+
+
+def _theta_tables(spark, folder):
+    """Two tables of many rows and few keys, each with NULL, NaN and both zeros, in one file of one task; and a third."""
+    numbers = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, *(float(i % 37 - 18) for i in range(2000))]
+    a = [(i, (None, 1, 2)[i % 3], x, i % 7 - 3 if i % 11 else None) for i, x in enumerate(numbers)]
+    b = [(i, (None, 1.0, 2.0, math.nan)[i % 4], x, i % 5) for i, x in enumerate(numbers[:80])]
+    spark.createDataFrame(a, "aid int, ak int, ax double, ay int").coalesce(1).write.parquet(f"{folder}/a.parquet")
+    spark.createDataFrame(b, "bid int, bk double, bx double, bz int").coalesce(1).write.parquet(f"{folder}/b.parquet")
+    spark.createDataFrame([(i, f"n{i}") for i in range(-3, 4)], "nk int, nx string").write.parquet(f"{folder}/n.parquet")
+    s = Session(spark)
+    s.register_parquet(str(folder), "a", "b", "n")
+    return s, a, b
+
+
+def _holds(op, x, y):
+    """NULL is the smallest value and equals itself; NaN compares with nothing."""
+    if any(v is not None and v != v for v in (x, y)):
+        return False
+    x, y = ((v is not None, v or 0) for v in (x, y))
+    return {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y, "==": x == y}[op]
+
+
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_theta_join_against_pairs(spark, tmp_path, op, monkeypatch):
+    from quillon.plans import select
+
+    s, a, b = _theta_tables(spark, tmp_path)
+    monkeypatch.setattr(select, "BLOCK", 16)
+    want = Counter((x[0], y[0]) for x in a for y in b if _holds("==", x[1], y[1]) and _holds(op, x[2], y[2]))
+    mirrored = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op]
+    assert Counter(rows(s.sql(f"select aid, bid from a join b on ax {op} bx and ak == bk"))) == want
+    assert Counter(rows(s.sql(f"select aid, bid from b join a on bk == ak and ax {op} bx"))) == want
+    more = Counter((x[0], y[0]) for x in a for y in b if _holds("==", x[1], y[1]) and _holds(op, x[2], y[2]) and _holds(mirrored, x[3], y[3]) and x[0] > 50)
+    assert Counter(rows(s.sql(f"select aid, bid from a join b on ak == bk and ax {op} bx and ay {mirrored} bz and aid > 50"))) == more
+    grouped = Counter(x[3] for x in a for y in b if _holds("==", x[1], y[1]) and _holds(op, x[2], y[2]) and x[3] is not None)
+    out = rows(s.sql(f"select nx, count(bid), max(bz) from a join b on bk == ak and ax {op} bx join n on nk == ay group by nx having MAX_bz >= 0 order by nx"))
+    assert [(r[0], r[1]) for r in out] == sorted((f"n{k}", v) for k, v in grouped.items())
+    assert s.sql(f"select * from a join b on ak == bk and ax {op} bx").columns == ["aid", "ak", "ax", "ay", "bid", "bk", "bx", "bz"]
+
+
+def test_theta_join_is_dealt_to_tasks(spark, tmp_path):
+    """One file of one task on either side; every task makes pairs, and no more than a few times its share."""
+    s, _, _ = _theta_tables(spark, tmp_path)
+    made = Counter(r[0] for r in s.sql("select aid, bid from a join b on ax > bx and ak == bk").select(F.spark_partition_id()).collect())
+    assert len(made) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(made.values()) < 3 * sum(made.values()) / len(made)
